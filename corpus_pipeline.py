@@ -1 +1,60 @@
-"""Placeholder until all stages exist."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitalink.llm import decontam, mixing, quality, simhash, tokens
+from vitalink.llm.common import shared_dir
+from vitalink.llm.queries import TOKENIZER, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed thresholds and the learned rules keep."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that match no benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, a row for each time."""
+    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("_taken_id"), "size", "times").distinct()
+    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
+    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")) & (F.col("_size") == F.col("size")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token records of the documents, written and read back."""
+    return tokens.token_records(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-ID / binary output", token_records),
+]
+
+#: No SQL engine has the fingerprints, the alignment and the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
