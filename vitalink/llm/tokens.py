@@ -17,7 +17,8 @@ tasks returned are in the manifest, so that lost executors and repeated attempts
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -33,8 +34,6 @@ from .common import shared_dir, shuffle_partitions, small_batches, text_bytes
 MAGIC = b"VLREC1"
 _FRAME = struct.Struct("<QI")
 _HEAD = struct.Struct("<Bq")
-#: A space next to other white space: there the words of a text can't be encoded one by one.
-_AWKWARD = re.compile(r" \s|\s |^ | $")
 
 
 def masked(data: bytes) -> int:
@@ -57,39 +56,61 @@ class PieceEncoder:
     with the text of a special token, go through the tokenizer whole.  The memory is bounded by ``most`` words.
     """
 
-    def __init__(self, path: str, width: int = 0, most: int = 600_000):
+    def __init__(self, path: str, width: int = 0, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executors' cores are taken already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = width or (2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        self.width = width or (2 if size <= 1 << 16 else 4)
         self.kind = np.dtype(f"<u{self.width}")
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes | None] = {}
         self.most = most
-        split = type(self.tokenizer.pre_tokenizer).__name__
-        self.by_word = split == "ByteLevel" and self.tokenizer.normalizer is None
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
+        #: Ids whose first byte is a space, which byte-level vocabularies write as U+0120.
+        self.leads = np.zeros(size, bool)
+        self.leads[[k for x, k in vocabulary.items() if x.startswith("\u0120")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Remember new words; None for those whose ids depend on the space before or after them."""
+        known = self.words
+        known.update(dict.fromkeys(new))
+        fit = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+        for at in range(0, len(fit), 20_000):
+            part = fit[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            start = np.flatnonzero(self.leads[ids])
+            if len(start) != len(part):
+                known.update(zip(part, self._whole([" " + x for x in part]), strict=True))
+                continue
+            data, cuts = ids.tobytes(), (np.append(start, len(ids)) * self.width).tolist()
+            known.update(zip(part, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        plain = [self.by_word and not _AWKWARD.search(t) and not (self.special and self.special.search(t)) for t in texts]
-        split = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
+        if not self.by_word:
+            return self._whole(texts)
+        split = [None if any(x in t for x in self.special) else t.split(" ") for t in texts]
         if len(self.words) > self.most:
             self.words.clear()
-        known = self.words
-        new: set[str] = set()
+        new = set().union(*(x[1:] for x in split if x)).difference(self.words)
+        if new:
+            self._learn(list(new))
+        find = self.words.__getitem__
+        joined: list[bytes | None] = []
         for pieces in split:
-            if pieces:
-                new.update(pieces[1:])
-        missing = [x for x in new if x not in known]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            known.update(zip(part, self._whole([" " + x for x in part]), strict=True))
-        firsts = self._whole([pieces[0] if pieces else t for pieces, t in zip(split, texts, strict=True)])
-        return [head + b"".join([known[x] for x in pieces[1:]]) if pieces else head for head, pieces in zip(firsts, split, strict=True)]
+            try:
+                joined.append(b"".join(map(find, pieces[1:])) if pieces and not pieces[0][-1:].isspace() else None)
+            except TypeError:  # a piece without ids of its own
+                joined.append(None)
+        heads = self._whole([t if x is None else pieces[0] for t, x, pieces in zip(texts, joined, split, strict=True)])
+        return [head if x is None else head + x for head, x in zip(heads, joined, strict=True)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -132,14 +153,13 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_
                 sink = store.open_output_stream(path + ".rec")
                 sink.write(MAGIC + bytes([encoder.width, 0]))
                 first = ids[0]
-            for at in range(0, len(texts), 200):
-                framed = []
-                for key, tokens in zip(ids[at : at + 200], encoder.encode(texts[at : at + 200]), strict=True):
-                    framed.append(frame(key, tokens + end))
-                    sizes.append(len(framed[-1]))
-                    n_tokens += len(tokens) // encoder.width + 1
-                n_docs += len(texts[at : at + 200])
-                sink.write(b"".join(framed))
+            framed = []
+            for key, tokens in zip(ids, encoder.encode(texts), strict=True):
+                framed.append(frame(key, tokens + end))
+                sizes.append(len(framed[-1]))
+                n_tokens += len(tokens) // encoder.width + 1
+            n_docs += len(texts)
+            sink.write(b"".join(framed))
         if sink is not None:
             sink.close()
             with store.open_output_stream(path + ".idx") as index:
