@@ -1,19 +1,422 @@
-"""Registered queries over the benchmark tables, each with its SQL equivalent."""
+"""Registered queries over the benchmark tables, each with its SQL equivalent where SQL can express it.
+
+Queries run on the person view of the tables (see :mod:`.persons`).  Ranks are left out of results: they order, but
+their scale is no contract.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import dates, names, places, text
+from ..functions.blend import Params
+from ..operators import aggregate, link, score, search
+from ..operators.requests import Block, parse
+from ..sources import bulk, reference
+from .persons import PERSONS_SQL, nested, persons, requests
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(10)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, view: bool = True) -> Callable[[Query], Query]:
+    """Register a query with its SQL; ``view`` puts the person view in front of it."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = f"WITH {PERSONS_SQL.strip()} {sql}" if view else sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+_SHOWN = ["uid", "first", "last", "sex", "birth_date", "birth_country"]
+
+
+def _find(spark: SparkSession, sf_dir: str, **fields) -> DataFrame:
+    return search.search(persons(spark, sf_dir), parse(fields)).select(*_SHOWN)
+
+
+def _select(where: str) -> str:
+    return f"SELECT uid, first, last, sex, birth_date, birth_country FROM persons WHERE {where}"
+
+
+# SQL of the comparisons: r2 rounds as the engine does; the damerau distance counts a swap as one edit.
+_R2 = "(CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN floor(({x}) * 100 + 0.5) / 100 ELSE round(({x})::DOUBLE, 2) END)"
+_AUTO = "(damerau_levenshtein({a}, {b}) <= CASE WHEN length({b}) <= 2 THEN 0 WHEN length({b}) <= 5 THEN 1 ELSE 2 END)"
+
+
+def _near(column: str, word: str) -> str:
+    k = search.auto_edits(len(word))
+    return f"damerau_levenshtein({column}, '{word}') <= {k}"
+
+
+# ------------------------------------------------------------------ search
+
+
+@query(_select("first = 'red' AND last = 'bolt' AND birth_date >= '19960000' AND birth_date <= '19979999'") + " ORDER BY birth_date, uid LIMIT 20")
+def search_exact(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    r = parse({"firstName": "red", "lastName": "bolt", "birthDate": "1996-1997", "fuzzy": False, "sort": '[{"birthDate": "asc"}]'})
+    return search.page(search.search(people, r), r).select(*_SHOWN)
+
+
+@query(_select(f"{_near('last', 'bollt')} AND ({_near('first', 'rde')} OR {_near('second_name', 'rde')}) OR {_near('last', 'rde')} AND ({_near('first', 'bollt')} OR {_near('second_name', 'bollt')})"))
+def search_fuzzy_name(spark, sf_dir):
+    return _find(spark, sf_dir, firstName="rde", lastName="bollt")
+
+
+@query(_select(f"{_near('last', 'red')} AND ({_near('first', 'bolt')} OR {_near('second_name', 'bolt')}) OR {_near('last', 'bolt')} AND ({_near('first', 'red')} OR {_near('second_name', 'red')})"))
+def search_name_swapped(spark, sf_dir):
+    return _find(spark, sf_dir, firstName="bolt", lastName="red")
+
+
+@query(_select("birth_date LIKE '1997%'"))
+def search_prefix_date(spark, sf_dir):
+    return _find(spark, sf_dir, birthDate="1997")
+
+
+@query(_select("birth_date BETWEEN '19970101' AND '19970331'"))
+def search_range_date(spark, sf_dir):
+    return _find(spark, sf_dir, birthDate="01/01/1997-31/03/1997")
+
+
+@query(_select("birth_date >= '20000101'"))
+def search_limit_date(spark, sf_dir):
+    return _find(spark, sf_dir, birthDate=">01/01/2000")
+
+
+@query(_select("damerau_levenshtein(birth_date, '19970311') <= 2"))
+def search_fuzzy_date(spark, sf_dir):
+    return _find(spark, sf_dir, birthDate="11/03/1997")
+
+
+@query(_select("death_age BETWEEN 20 AND 30 AND sex = 'M'"))
+def search_age_range(spark, sf_dir):
+    return _find(spark, sf_dir, deathAge="20-30", sex="H")
+
+
+_KM = "CASE WHEN lat = 42.5 AND lon = -3.5 THEN 0.0 ELSE acos(greatest(-1.0, least(1.0, sin(radians(42.5)) * sin(radians(lat)) + cos(radians(42.5)) * cos(radians(lat)) * cos(radians(-3.5 - lon))))) * 6370.693486 END"
+
+
+@query(f"SELECT uid, round({_KM}, 3) AS km FROM persons WHERE {_KM} <= 50")
+def search_geo(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    rows = search.search(people, parse({"birthGeoPoint": {"latitude": 42.5, "longitude": -3.5, "distance": "50km"}}))
+    return rows.select("uid", F.round(places.distance_column(F.lit(42.5), F.lit(-3.5), F.col("lat"), F.col("lon")), 3).alias("km"))
+
+
+_ALL = "(len(list_filter(string_split(lower(first || ' ' || second_name || ' ' || last), ' '), lambda t: {test})) > 0)"
+_FULL = _ALL.format(test=f"{_near('t', 'bolt')} OR {_near('t', 'red')}")
+
+
+@query(_select(f"{_FULL} AND ({_near('last', 'bolt')} AND ({_near('first', 'red')} OR {_near('second_name', 'red')}) OR {_near('last', 'red')} AND ({_near('first', 'bolt')} OR {_near('second_name', 'bolt')}))"))
+def search_fulltext_names(spark, sf_dir):
+    return _find(spark, sf_dir, q="de Bolt Réd")
+
+
+@query(_select("birth_date = '19970311' OR death_date = '19970311'"))
+def search_fulltext_date(spark, sf_dir):
+    return _find(spark, sf_dir, q="11/03/1997")
+
+
+@query(_select("birth_country = 'NATION_7' AND birth_city = 'BUILDING'"))
+def search_place_exact(spark, sf_dir):
+    return _find(spark, sf_dir, birthCountry="Nation 7", birthCity="building", fuzzy="false")
+
+
+@query(_select("damerau_levenshtein(lower(birth_city), 'bidling') <= 2"))
+def search_place_fuzzy(spark, sf_dir):
+    return _find(spark, sf_dir, birthCity="Bidling")
+
+
+@query(_select("birth_code = '05123' OR birth_department = '05' AND birth_date LIKE '1998%'"))
+def search_codes(spark, sf_dir):
+    return _find(spark, sf_dir, birthLocationCode="05123").union(_find(spark, sf_dir, birthDepartment="05", birthDate="1998")).distinct()
+
+
+@query(_select(f"(CASE WHEN {_near('last', 'bolt')} THEN 1 ELSE 0 END) + (CASE WHEN birth_date LIKE '1996%' THEN 1 ELSE 0 END) >= 1"))
+def search_block(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    r = parse({"lastName": "bolt", "birthDate": "1996", "block": {"scope": ["name", "birthDate"], "minimum_match": 1, "should": True}})
+    first = search.predicates(people, r)["name"][0]
+    straight = search.match(F.col("last"), "bolt", None)
+    turned = people.where(first & ~straight).select(*_SHOWN)  # the last name in a first name's place
+    return search.search(people, r).select(*_SHOWN).exceptAll(turned.where("birth_date not like '1996%'"))
+
+
+@query(_select("uid = 1000"))
+def lookup_id(spark, sf_dir):
+    return search.lookup(persons(spark, sf_dir), 1000).select(*_SHOWN)
+
+
+@query(_select("sex = 'F'") + " ORDER BY birth_date DESC, uid OFFSET 20 LIMIT 20")
+def page_2(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    r = parse({"sex": "F", "page": 2, "sort": [{"birthDate": "desc"}]})
+    return search.page(search.search(people, r), r).select(*_SHOWN)
+
+
+@query(_select("death_age > 0") + " ORDER BY birth_country, death_age DESC NULLS LAST, uid LIMIT 100")
+def sort_multi(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    r = parse({"deathAge": "0-99", "size": 100, "sort": [{"birthCountry": "asc"}, {"deathAge": "desc"}]})
+    return search.page(search.search(people, r), r).select(*_SHOWN)
+
+
+@query("SELECT count(*) AS records, max(source) AS last_source, max_by(death_date, (source, death_date)) AS last_death_date FROM persons")
+def status(spark, sf_dir):
+    return search.status(persons(spark, sf_dir))
+
+
+@query(
+    """, w AS (SELECT uid, list_distinct([lower(first), lower(last)] || string_split(trim(regexp_replace(second_name, '[^a-z0-9]+', ' ', 'g')), ' ')) AS u,
+     string_split(trim(regexp_replace(lower(first || ' ' || second_name || ' ' || last), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM persons),
+    s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean, sum(list_contains(w, 'red')::INT) AS a, sum(list_contains(w, 'bolt')::INT) AS b FROM w)
+    SELECT uid, round(1.0::DOUBLE * list_contains(w, 'red')::INT * ln(1 + (n - a + 0.5) / (a + 0.5)) * 2.2 / (list_contains(w, 'red')::INT + 1.2 * (0.25 + 0.75 * len(w) / mean))
+     + 1.0::DOUBLE * list_contains(w, 'bolt')::INT * ln(1 + (n - b + 0.5) / (b + 0.5)) * 2.2 / (list_contains(w, 'bolt')::INT + 1.2 * (0.25 + 0.75 * len(w) / mean)), 6) AS rank
+    FROM w, s WHERE list_contains(w, 'red') OR list_contains(w, 'bolt')"""
+)
+def rank_bm25(spark, sf_dir):
+    return search.bm25(persons(spark, sf_dir), "Red Bolt").select("uid", F.round("rank", 6).alias("rank"))
+
+
+# ------------------------------------------------------------------ aggregation
+
+
+def _aggregate(spark, sf_dir, aggs, after=None, **fields) -> DataFrame:
+    return aggregate.aggregate(persons(spark, sf_dir), parse(fields | {"aggs": aggs}, aggregation=True), after)
+
+
+@query("SELECT birth_country AS key, count(*) AS value FROM persons GROUP BY 1 ORDER BY value DESC, key LIMIT 10")
+def agg_terms_top(spark, sf_dir):
+    return _aggregate(spark, sf_dir, ["birthCountry"], aggsSize=10)
+
+
+@query(
+    """, m AS (SELECT date_trunc('month', strptime(birth_date, '%Y%m%d'))::DATE AS m, count(*) AS n FROM persons WHERE last = 'bolt' GROUP BY 1),
+    every AS (SELECT unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH))::DATE AS m)
+    SELECT strftime(every.m, '%Y%m%d') AS key, coalesce(n, 0) AS value FROM every LEFT JOIN m USING (m)"""
+)
+def agg_month_histogram(spark, sf_dir):
+    return aggregate.months(persons(spark, sf_dir).where("last = 'bolt'"), "birth_date")
+
+
+@query("SELECT sex, birth_country, count(*) AS value FROM persons GROUP BY 1, 2")
+def agg_composite(spark, sf_dir):
+    return _aggregate(spark, sf_dir, ["sex", "birthCountry"])
+
+
+@query("SELECT sex, birth_country, count(*) AS value FROM persons WHERE (sex, birth_country) > ('F', 'NATION_15') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10")
+def agg_composite_after(spark, sf_dir):
+    return aggregate.composite(persons(spark, sf_dir), ["sex", "birth_country"], ["F", "NATION_15"], 10)
+
+
+@query("SELECT count(DISTINCT birth_date) AS birth_date, count(DISTINCT last) AS last FROM persons")
+def agg_cardinality(spark, sf_dir):
+    return aggregate.cardinality(persons(spark, sf_dir), ["birth_date", "last"], exact=True)
+
+
+@query("SELECT death_age AS key, count(*) AS value FROM persons WHERE sex = 'F' AND birth_date LIKE '1997%' GROUP BY 1 ORDER BY value DESC, key LIMIT 250")
+def agg_filtered(spark, sf_dir):
+    return _aggregate(spark, sf_dir, ["deathAge"], sex="F", birthDate="1997")
+
+
+# ------------------------------------------------------------------ functions
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents", view=False)
+def text_normalize(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalized(F.col("text")).alias("normal"))
+
+
+@query("SELECT uid, substring(birth_date, 7, 2) || '/' || substring(birth_date, 5, 2) || '/' || substring(birth_date, 1, 4) AS french, substring(birth_date, 1, 4) || '-' || substring(birth_date, 5, 2) AS month FROM persons")
+def date_reformat(spark, sf_dir):
+    d = F.col("birth_date")
+    return persons(spark, sf_dir).select("uid", dates.reformatted(d, "yyyyMMdd", "dd/MM/yyyy").alias("french"), dates.reformatted(dates.reformatted(d, "yyyyMMdd", "dd/MM/yyyy"), "DD/mm/YYYY", "yyyy-MM").alias("month"))
+
+
+@query("SELECT uid, rpad(left(birth_date, 6), 8, '0') AS low, rpad(left(birth_date, 6), 8, '9') AS high FROM persons")
+def date_padding(spark, sf_dir):
+    month = F.left("birth_date", F.lit(6))
+    return persons(spark, sf_dir).select("uid", F.rpad(month, 8, dates.lower_bound("")[0]).alias("low"), F.rpad(month, 8, dates.upper_bound("")[0]).alias("high"))
+
+
+_WORDS = "w AS (SELECT DISTINCT first AS a FROM persons UNION SELECT DISTINCT last FROM persons)"
+
+
+@query(f", {_WORDS} SELECT x.a, y.a AS b, CASE WHEN x.a = y.a THEN 1.0 ELSE round(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a))::DOUBLE, 2) END AS ratio FROM w x, w y")
+def sim_lev_ratio(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    words = people.select(F.col("first").alias("a")).union(people.select("last")).distinct()  # a few dozen words
+    return words.crossJoin(F.broadcast(words.withColumnRenamed("a", "b"))).select("a", "b", text.lev_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+
+
+def _short_sql(a: str, b: str, length: int) -> str:
+    """The edit distance of short strings with up to two swaps of neighbours, as in :func:`text.damerau_short`."""
+    swap = lambda s, k: f"(left({s}, {k} - 1) || substring({s}, {k} + 1, 1) || substring({s}, {k}, 1) || substring({s}, {k} + 2))"
+    one = f"[1 + levenshtein({swap(a, 'k')}, {b}) for k in range(1, {length})]"
+    two = f"flatten([[2 + levenshtein({swap(swap(a, 'k'), 'j')}, {b}) for j in range(k + 2, {length})] for k in range(1, {length})])"
+    return f"list_min([levenshtein({a}, {b})] || {one} || {two})"
+
+
+_PAIRS = "pairs AS (SELECT p.*, r.birth_q, r.first_q, r.last_q, r.sex_q, r.qid FROM persons p JOIN requests r ON p.uid // 50 = r.qid // 50)"
+_YEAR = f"(CASE WHEN left(birth_q, 4) = left(birth_date, 4) THEN 1.0 ELSE round(1 - {_short_sql('left(birth_q, 4)', 'left(birth_date, 4)', 4)} / 4.0::DOUBLE, 2) END)"
+_APART = "((strptime(birth_q, '%Y%m%d')::DATE - strptime(birth_date, '%Y%m%d')::DATE) * 86400000.0::DOUBLE / 31536000000.0::DOUBLE)"
+_RAW = f"""CASE WHEN birth_q = birth_date THEN 1.0::DOUBLE
+    WHEN birth_date LIKE '%0101' OR birth_q LIKE '%0101' THEN round(0.9025::DOUBLE * pow({_YEAR}, 2), 2)
+    ELSE greatest(round(1 - {_short_sql('birth_q', 'birth_date', 8)} / 8.0::DOUBLE, 2), CASE WHEN left(birth_q, 6) = left(birth_date, 6) THEN 0.9 ELSE 0 END,
+                  round(1 - pow(pow({_APART}, 2), 0.2), 2)) END"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = persons(spark, sf_dir)
+    asked = requests(people)
+    return people.join(asked, F.floor(F.col("uid") / 50) == F.floor(F.col("qid") / 50))
+
+
+@query(f", {_PAIRS} SELECT qid, uid, round(0.01 * floor(pow({_RAW}, 2.5) * 100 + 0.5), 2) AS score FROM pairs WHERE try_strptime(birth_q, '%Y%m%d') IS NOT NULL")
+def score_date(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).where(F.try_to_date("birth_q", "yyyyMMdd").isNotNull())
+    return rows.select("qid", "uid", F.round(dates.score_column(F.col("birth_q"), F.col("birth_date")), 2).alias("score"))
+
+
+@query(f", {_PAIRS} SELECT qid, uid, CASE WHEN sex_q = sex THEN 1.0 ELSE 0.5 END AS score FROM pairs")
+def score_sex(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("qid", "uid", names.sex_column(F.col("sex_q"), F.col("sex")).alias("score"))
+
+
+@query(f"SELECT uid, round(20 / (20 + {_KM}), 2) AS score FROM persons")
+def score_geo(spark, sf_dir):
+    return persons(spark, sf_dir).select("uid", places.geo_score_column(F.lit(42.5), F.lit(-3.5), F.col("lat"), F.col("lon")).alias("score"))
+
+
+@query(
+    """, pairs AS (SELECT p.uid, r.uid AS other, p.birth_code AS b, r.birth_code AS a FROM persons p JOIN persons r ON r.uid = p.uid + 1)
+    SELECT uid, other, CASE WHEN a = b THEN 1.0 WHEN left(a, 2) = left(b, 2) THEN 0.87 ELSE 0.7 END AS score FROM pairs"""
+)
+def score_code(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    other = people.select((F.col("uid") - 1).alias("uid"), F.col("uid").alias("other"), F.col("birth_code").alias("a"))
+    return people.join(other, "uid").select("uid", "other", places.code_score_column(F.col("a"), F.col("birth_code")).alias("score"))
+
+
+def _alike_sql(a: str, b: str) -> str:
+    s = f"round(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE, 2)"
+    return f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {s} = 0 THEN 0.0::DOUBLE ELSE round(pow({s}, 1.5), 2) END)"
+
+
+_SF, _SL = _alike_sql("first_q", "first"), _alike_sql("last_q", "last")
+
+
+@query(f", {_PAIRS} SELECT qid, uid, round(greatest({_SF} * pow({_SL}, 1.5), {_SF} * CASE WHEN sex = 'F' THEN 0.65 ELSE 0.1 END), 2) AS score FROM pairs")
+def score_name_simple(spark, sf_dir):
+    c = F.col
+    return _pairs(spark, sf_dir).select("qid", "uid", names.score_column(c("first_q"), c("last_q"), c("first"), c("last"), c("sex"), phonetic=False).alias("score"))
+
+
+@query(
+    f""", {_PAIRS}, parts AS (SELECT qid, uid, CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END AS a, CASE WHEN last_q = last THEN 0.9::DOUBLE ELSE 0.6 END AS b FROM pairs)
+    SELECT qid, uid, round(pow(a * b, 0.8 * (2 - ((a >= 0.75)::INT + (b >= 0.75)::INT) / 2.0)), 2) AS score FROM parts"""
+)
+def score_reduce(spark, sf_dir):
+    a, b = names.sex_column(F.col("sex_q"), F.col("sex")), F.when(F.col("last_q") == F.col("last"), 0.9).otherwise(0.6)
+    good = (a >= 0.75).cast("int") + (b >= 0.75).cast("int")
+    return _pairs(spark, sf_dir).select("qid", "uid", text.round2(F.pow(a * b, 0.8 * (2 - good / 2))).alias("score"))
+
+
+@query()
+def soundex_french(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    return people.select("last").union(people.select("first")).distinct().select("last", text.soundex_fr_column(F.col("last")).alias("code"))
+
+
+# ------------------------------------------------------------------ enrichment
+
+
+@query("SELECT uid, last, n_regionkey AS region, n_name AS label FROM persons LEFT JOIN nation ON n_name = birth_country AND n_regionkey < 3")
+def enrich_left(spark, sf_dir):
+    links = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey < 3").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("label"))
+    return reference.with_links(persons(spark, sf_dir), links, "birth_country").select("uid", "last", "links.region", "links.label")
+
+
+@query("SELECT c_custkey, left(c_name, 2) || '...' || right(c_name, 2) || '@' || lower(c_mktsegment) || '.example' AS author FROM customer", view=False)
+def mask_author(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select("c_custkey", reference.mask_author(F.concat("c_name", F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"))).alias("author"))
+
+
+@query("SELECT uid, lon AS longitude, lat AS latitude FROM persons")
+def geo_point_parse(spark, sf_dir):
+    lat, lon = reference.point(F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")))
+    return persons(spark, sf_dir).select("uid", lon.alias("longitude"), lat.alias("latitude"))
+
+
+@query("SELECT first || ' ' || last AS name, substring(birth_date, 7, 2) || '/' || substring(birth_date, 5, 2) || '/' || left(birth_date, 4) AS born FROM persons WHERE last = 'bolt'")
+def export_dates(spark, sf_dir):
+    rows = bulk.export(persons(spark, sf_dir).where("last = 'bolt'"))
+    return rows.select(F.concat_ws(" ", "first name", "last name").alias("name"), F.col("birth date").alias("born"))
+
+
+# ------------------------------------------------------------------ linkage
+
+_WORDS_IN_COMMON = f"({_AUTO.format(a='p.last', b='r.last_q')} OR {_AUTO.format(a='p.first', b='r.last_q')} OR {_AUTO.format(a='p.last', b='r.first_q')} OR {_AUTO.format(a='p.first', b='r.first_q')} OR len(list_filter(string_split(trim(regexp_replace(p.second_name, '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: {_AUTO.format(a='t', b='r.last_q')} OR {_AUTO.format(a='t', b='r.first_q')})) > 0)"
+_ADMITTED = f"(p.last = r.last_q OR p.birth_date = r.birth_q) AND (left(p.birth_date, 4) = left(r.birth_q, 4) OR damerau_levenshtein(p.birth_date, r.birth_q) <= 1) AND {_WORDS_IN_COMMON}"
+
+
+@query(f"SELECT r.qid, p.uid FROM requests r JOIN persons p ON {_ADMITTED}")
+def link_candidates(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    return link.candidates(requests(people), people).select("qid", "uid")
+
+
+_LINK_SCORE = f""", s AS (SELECT r.qid, p.uid, p.sex, r.birth_q, p.birth_date,
+    round({_alike_sql('r.first_q', 'p.first')} * pow({_alike_sql('r.last_q', 'p.last')}, 1.5), 2) AS name FROM requests r JOIN persons p ON {_ADMITTED}),
+  m AS (SELECT *, max(name) OVER (PARTITION BY qid) AS best FROM s)"""
+
+
+@query(f"{_LINK_SCORE} SELECT qid, uid, name FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY name DESC, uid) <= 3")
+def link_topn(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    c = F.col
+    rows = link.candidates(requests(people), people)
+    first, last = names.alike_column(c("first_q"), c("first"), False), names.alike_column(c("last_q"), c("last"), False)
+    rows = rows.select("qid", "uid", text.round2(first * F.pow(last, F.lit(1.5))).alias("name"))
+    return score.best(rows.withColumn("final", c("name")).withColumn("rank", F.lit(1.0)), 3).select("qid", "uid", "name")
+
+
+@query(f", c AS (SELECT r.qid, count(*) AS n FROM requests r JOIN persons p ON {_ADMITTED} GROUP BY 1) SELECT r.qid, coalesce(n, 0) AS n FROM requests r LEFT JOIN c USING (qid)")
+def link_unmatched_kept(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    asked = requests(people)
+    counted = link.candidates(asked, people).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counted, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query()
+def bulk_linkage(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    return link.link(requests(people), people, nested(), Params(candidates=2))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bulk_linkage(spark, sf_dir)
+
+
+#: Blocks that bulk linkage uses where a request has no first or last name.
+DEFAULT_BLOCK = Block()
