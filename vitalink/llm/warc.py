@@ -98,7 +98,7 @@ class Writer:
         step = max(1, self.held // (64 * self.dictionary_bytes))
         words = build_dictionary(self.waiting[::step], self.dictionary_bytes)
         self.compress = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(words) if words else None).compress
-        self.sink = self.store.open_output_stream(self.path + ".warc.zst")
+        self.sink = self.store.open_output_stream(self.path + ".warc.zst", compression=None)  # the default would compress by suffix
         self.sink.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
         self.at.append(8 + len(words))
         for x in self.waiting:
@@ -124,7 +124,7 @@ def read_archive(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_stream(path + ".idx") as index:
         at = np.frombuffer(index.read(), "<u8")
-    with store.open_input_stream(path + ".warc.zst", buffer_size=1 << 20) as archive:
+    with store.open_input_stream(path + ".warc.zst", compression=None, buffer_size=1 << 20) as archive:
         magic, size = struct.unpack("<II", archive.read(8))
         if magic != SKIPPABLE:
             raise ValueError("no leading skippable frame")
