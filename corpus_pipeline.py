@@ -27,10 +27,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, a row for each time."""
-    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("_taken_id"), "size", "times").distinct()
-    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
-    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")) & (F.col("_size") == F.col("size")))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+    taken = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("_taken_id"), F.col("size").alias("_taken_size"), F.col("times").alias("_taken_times")).distinct()
+    sized = docs.withColumn("_own_size", mixing.n_words(F.col("text")))
+    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")) & (F.col("_own_size") == F.col("_taken_size")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("_taken_times"))).alias("_time")).drop("_time")
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

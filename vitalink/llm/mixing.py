@@ -118,7 +118,7 @@ def mix(
     spark = docs.sparkSession
     source = F.col(source_col) if isinstance(source_col, str) else source_col
     kind = docs.select(source.alias("s")).schema["s"].dataType.typeName()
-    members = F.array_sort(F.array_distinct(source)) if kind == "array" else F.array(source)
+    members = F.coalesce(F.array_sort(F.array_distinct(source)), F.expr("array(cast(null as string))")) if kind == "array" else F.array(source)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         n_words(F.col(text_col)).alias("size"),
