@@ -96,10 +96,6 @@ def best(pairs: DataFrame, n: int = 1, key: str = "qid", rank: str = "rank", uid
 
 
 def compare_one(a: dict, b: dict, params: Params = Params(), communes: dict | None = None) -> dict:
-    """Compare two requests' persons, as the compare call does: all part scores and the blend after the blind penalty."""
-    from ..functions.text import to_fixed
-
-    s = compare(person_from_request(a), person_from_request(b) if "name" not in b else b, params, communes)
-    good = sum((_number(s.get(k)) or 0) >= PERFECT and isinstance(s.get(k), dict) for k in ("name", "birthLocation"))
-    n = sum(k in s for k in _PARTS) + 1
-    return s | {"score": to_fixed(s["score"] ** (request_weight(a) / (0.5 * good + n)))}
+    """Part scores and the blend of two identities: ``a`` as request fields, ``b`` as request fields or a nested person."""
+    nested = any(isinstance(b.get(k), dict) for k in ("name", "birth", "death"))
+    return compare(person_from_request(a), b if nested else person_from_request(b), params, communes)

@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str | None =
     order of the files without sorting: by partition, then within it.
     """
     quote = None if quote == "null" else quote
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit(charset(encoding))).alias("t")) if charset(encoding) != "UTF-8" else None
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", charset(encoding)).alias("t")) if charset(encoding) != "UTF-8" else None
     if raw is None:
         lines = spark.read.text(path).select(F.explode(F.split("value", "\r")).alias("line"))
     else:

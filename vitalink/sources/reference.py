@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +46,21 @@ def nest(rows: DataFrame) -> DataFrame:
     return rows.select(has("UID").alias("id"), has("SOURCE").alias("source"), has("SOURCE_LINE").alias("sourceLine"), name.alias("name"), has("SEXE").alias("sex"), *(c.alias(k) for k, c in events.items()))
 
 
-def communes(spark: SparkSession, path: str) -> DataFrame:
-    """name, lat, lon, code, surface of a GeoJSON of communes: the mean of all vertices of a feature; the last of a name wins."""
+def _city_names(labels: pd.Series) -> pd.Series:
     from ..functions.places import city_name
 
+    return labels.map(city_name)
+
+
+def communes(spark: SparkSession, path: str) -> DataFrame:
+    """name, lat, lon, code, surface of a GeoJSON of communes: the mean of all vertices of a feature; the last of a name wins."""
     raw = spark.read.option("multiLine", True).json(path).select(F.posexplode("features").alias("k", "f"))
     properties = raw.schema["f"].dataType["properties"].dataType.fieldNames()
     optional = lambda c: F.col(f"f.properties.{c}").cast("string") if c in properties else F.lit(None).cast("string")
     numbers = F.regexp_extract_all(F.to_json("f.geometry.coordinates"), F.lit(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0))
     rows = raw.select("k", F.col("f.properties.nom").alias("label"), optional("code").alias("code"), optional("surface").alias("surface"), numbers.alias("n"))
     mean = lambda odd: F.aggregate(F.filter("n", lambda x, i: i % 2 == odd), F.lit(0.0), lambda s, x: s + x.cast("double")) / (F.size("n") / 2)
-    named = rows.select("k", F.udf(city_name)("label").alias("name"), mean(1).alias("lat"), mean(0).alias("lon"), "code", "surface")
+    named = rows.select("k", F.pandas_udf(_city_names, "string")("label").alias("name"), mean(1).alias("lat"), mean(0).alias("lon"), "code", "surface")
     return named.groupBy("name").agg(F.max_by(F.struct("lat", "lon", "code", "surface"), "k").alias("v")).select("name", "v.*")
 
 
@@ -91,7 +96,7 @@ def corrections(spark: SparkSession, path: str) -> DataFrame:
     schema = "date string, proof string, auth string, author string, message string, review struct<date:string,status:int>, fields map<string,string>"
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
     each = rows.select(F.element_at(F.split("file", "/"), -2).alias("id"), F.struct(F.element_at(F.split("file", "/"), -1).alias("file"), "date", "proof", "auth", mask_author(F.col("author")).alias("author"), "message", "review", "fields").alias("m"))
-    return each.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("modifications"))
+    return each.groupBy("id").agg(F.array_sort(F.collect_list("m"), lambda a, b: F.when(a["file"] < b["file"], -1).when(a["file"] > b["file"], 1).otherwise(0)).alias("modifications"))
 
 
 def with_corrections(people: DataFrame, log: DataFrame, id_col: str = "id") -> DataFrame:
