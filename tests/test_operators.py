@@ -205,3 +205,16 @@ def test_ranking(people):
     rows = search.bm25(people, "Pompidou Georges").orderBy(F.desc("rank")).collect()
     assert rows[0].uid == 1 and {r.uid for r in rows} == {1, 2}
     assert search.status(people).first().records == 6
+
+
+def test_blocks_scroll_and_scored_hits(people):
+    block = {"scope": ["name", "birthDate"], "minimum_match": 1}
+    assert found(people, firstName="georges", lastName="pompidou", birthDate="01/11/1969", block=block) == [1, 2]
+    assert found(people, firstName="x", lastName="pompidu", birthDate="01/11/1969", block=block) == [1]
+    assert found(people, firstName="jean", lastName="dupont", birthDate="1920-1940", block=block) == [3]
+    assert found(people, lastName="pompidou", birthDate="1930", block=block) == [1, 2, 3, 4]
+    r = parse({"deathAge": "0-99", "size": 2, "sort": [{"birthDate": "asc"}]})
+    assert [len(p) for p in search.scroll(search.search(people, r), r)] == [2, 2, 1]
+    hits = search.search(people, parse({"lastName": "pompidou"}))
+    rows = score.score_hits(hits, {"firstName": "georges", "lastName": "pompidou", "birthDate": "19691101"}, nested()).collect()
+    assert rows[0].uid == 1 and rows[0].final > rows[1].final >= 0 and len(rows) == 2

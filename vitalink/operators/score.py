@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,11 @@ def _number(x) -> float | None:
     return x.get("score") if isinstance(x, dict) else x
 
 
+@lru_cache(maxsize=1 << 14)
+def _person(text: str) -> dict:
+    return json.loads(text)
+
+
 def pair_scores(params: Params = Params(), communes: dict | None = None):
     """An Arrow-batched function of (request, person), both JSON of the nested shape, that gives the SCORES columns.
 
@@ -36,7 +42,7 @@ def pair_scores(params: Params = Params(), communes: dict | None = None):
         for x, y in zip(a, b, strict=True):
             if (x, y) not in known:
                 try:
-                    s = compare(json.loads(x), json.loads(y), params, communes)
+                    s = compare(_person(x), _person(y), params, communes)
                 except (TypeError, ValueError, KeyError, AttributeError):
                     s = {}
                 name = s.get("name")
@@ -95,6 +101,20 @@ def best(pairs: DataFrame, n: int = 1, key: str = "qid", rank: str = "rank", uid
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def score_hits(hits: DataFrame, item: dict, person_json: Column, params: Params = Params()) -> DataFrame:
+    """The hits of one request (with uid, sex and rank) with part scores and ``final``, best first.
+
+    All hits stay; those that the penalties would drop have the score 0.  ``item`` has the request's fields.
+    """
+    asked = F.lit(json.dumps(person_from_request(item)))
+    rows = hits.withColumn("_s", pair_scores(params)(asked, person_json))
+    rows = rows.withColumn("_final", blind_penalty(F.col("_s.score"), F.col("_s.name"), F.col("_s.birthLocation"), F.col("_s.n_parts"), F.lit(request_weight(item))))
+    pairs = rows.select(F.lit(0).alias("qid"), "uid", "rank", F.col("_final").alias("score"), F.col("_s.name").alias("name"), F.col("sex").alias("sex_b"))
+    kept = candidate_set(pairs, prune=params.prune, candidates=params.candidates).select("uid", "final")
+    out = rows.join(kept, "uid", "left").withColumn("final", F.coalesce("final", F.lit(0.0))).withColumnRenamed("_s", "scores").drop("_final")
+    return out.orderBy(F.desc("final"), F.desc("rank"), "uid")
+
+
 def compare_one(a: dict, b: dict, params: Params = Params(), communes: dict | None = None) -> dict:
     """Part scores and the blend of two identities: ``a`` as request fields, ``b`` as request fields or a nested person."""
     nested = any(isinstance(b.get(k), dict) for k in ("name", "birth", "death"))

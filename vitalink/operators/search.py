@@ -7,6 +7,7 @@ The rank is a sum of boosts, an approximation of a search server's relevance; it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
@@ -207,6 +208,28 @@ def block_predicate(tests: dict[str, tuple[Column, Column]], block: Block) -> Co
     return at_least([tests[k][0] for k in block.scope if k in tests], min(block.minimum_match, sum(k in tests for k in block.scope)))
 
 
+def adaptive_block_predicate(people: DataFrame, request: SearchRequest) -> Column:
+    """The block of requests with first and last name: a name word and the birth date near, and one thing exact.
+
+    Near: a word within the edits that its length allows; a date within one edit or of the same year, or in the range.
+    Exact: the last name, the legal name, the birth date or the death date.
+    """
+    v = request.values
+    tests = [match(F.concat_ws(" ", first_names(people), "last"), f"{v['lastName']} {v['firstName']}", None)]
+    exact = [match(F.col("last"), v[k]) for k in ("lastName", "legalName") if v.get(k)]
+    for key, column in (("birthDate", F.col("birth_date")), ("deathDate", F.col("death_date"))):
+        day = v.get(key)
+        if isinstance(day, tuple):
+            tests.append(date_predicate(column, day, False)[0])
+        elif day and len(day) == 8:
+            exact.append(column == day)
+            if key == "birthDate":
+                tests.append(within_edits(column, F.lit(day), 1) | column.startswith(day[:4]))
+        elif day:
+            tests.append(column.startswith(day))
+    return reduce(and_, tests) & reduce(or_, exact)
+
+
 def compile_request(people: DataFrame, request: SearchRequest) -> tuple[Column, Column]:
     """(predicate, rank) of a whole request: full text, id, block, or all fields."""
     if request.full_text:
@@ -218,7 +241,8 @@ def compile_request(people: DataFrame, request: SearchRequest) -> tuple[Column,
         return F.lit(True), F.lit(1.0)
     rank = reduce(lambda a, b: a + b, [r for _, r in tests.values()]) + 1.0
     if request.block:
-        return block_predicate(tests, request.block), rank
+        both = request.values.get("firstName") and request.values.get("lastName")
+        return (adaptive_block_predicate(people, request) if both else block_predicate(tests, request.block)), rank
     return reduce(and_, [t for t, _ in tests.values()]), rank
 
 
@@ -245,6 +269,23 @@ def page(rows: DataFrame, request: SearchRequest) -> DataFrame:
     return rows.offset(skip).limit(request.size) if skip else rows.limit(request.size)
 
 
+def scroll(rows: DataFrame, request: SearchRequest) -> Iterator[list]:
+    """All rows in the request's order, a list of its size at a time; one partition at a time comes to the driver."""
+    part: list = []
+    for row in ordered(rows, request.sort).toLocalIterator(prefetchPartitions=True):
+        part.append(row)
+        if len(part) == request.size:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
+def search_many(people: DataFrame, asked: dict[int, SearchRequest]) -> DataFrame:
+    """The pages of several requests in one plan, told apart by ``qid``.  For tables of requests see linkage."""
+    return reduce(DataFrame.unionByName, [page(search(people, r), r).withColumn("qid", F.lit(q)) for q, r in asked.items()])
+
+
 def lookup(people: DataFrame, uid) -> DataFrame:
     return people.where(F.col("uid") == F.lit(uid))
 

@@ -158,6 +158,28 @@ def search_block(spark, sf_dir):
     return search.search(people, r).select(*_SHOWN).exceptAll(turned.where("birth_date not like '1996%'"))
 
 
+@query(_select(f"({_FULL}) AND (damerau_levenshtein(birth_date, '19970311') <= 1 OR birth_date LIKE '1997%') AND (last = 'bolt' OR birth_date = '19970311')"))
+def search_block_adaptive(spark, sf_dir):
+    return _find(spark, sf_dir, firstName="red", lastName="bolt", birthDate="11/03/1997", block={"scope": ["name", "birthDate"]})
+
+
+@query(f"SELECT 1 AS qid, * FROM ({_select("sex = 'F'")} ORDER BY birth_date DESC, uid LIMIT 5) UNION ALL SELECT 2, * FROM ({_select("last = 'gear'")} ORDER BY birth_date, uid LIMIT 7)")
+def search_many(spark, sf_dir):
+    asked = {
+        1: parse({"sex": "F", "size": 5, "sort": [{"birthDate": "desc"}]}),
+        2: parse({"lastName": "gear", "fuzzy": False, "size": 7, "sort": [{"birthDate": "asc"}]}),
+    }
+    return search.search_many(persons(spark, sf_dir), asked).select("qid", *_SHOWN)
+
+
+@query()
+def search_scored(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    item = {"firstName": "red", "lastName": "bolt", "birthDate": "19970311"}
+    r = parse(item | {"birthDate": "11/03/1997", "block": {"scope": ["name", "birthDate"]}})
+    return score.score_hits(search.page(search.search(people, r), r), item, nested()).select(*_SHOWN, "final")
+
+
 @query(_select("uid = 1000"))
 def lookup_id(spark, sf_dir):
     return search.lookup(persons(spark, sf_dir), 1000).select(*_SHOWN)
