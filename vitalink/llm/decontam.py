@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The n-grams of all test items are counted over the whole corpus.  In each run of ``spacing`` consecutive n-grams of an
-item the rarest becomes a seed, so that every part of an item has one, whatever leaked and however often.  Documents
-that hold seeds of an item in about the same order are aligned with it; the score is the best local alignment's, as a
-share of the item's own (1: verbatim).  Words are compared in lower case, without ASCII punctuation.
+The n-grams of all test items are counted over the whole corpus.  Those that are rare, for the corpus or for their item,
+are its seeds, so that every part of an item has one, whatever leaked and however often.  Documents that hold seeds of
+an item in about the same order are aligned with it; the score is the best local alignment's, as a share of the item's
+own (1: verbatim).  Words are compared in lower case, without ASCII punctuation.
 
 Documents never move: the items are the stated query set, broadcast in blocks of bounded size, one pass over the
 documents for each block.
@@ -71,8 +71,13 @@ class Items:
         return at[same], number[same]
 
 
-def choose_seeds(items: Items, counts: np.ndarray, spacing: int) -> np.ndarray:
-    """Word numbers of the seeds: the rarest (then first) n-gram of each run of ``spacing`` of an item."""
+def choose_seeds(items: Items, counts: np.ndarray, spacing: int, few: int = 16) -> np.ndarray:
+    """Word numbers of the seeds.
+
+    An n-gram is rare if it occurs at most ``few`` times, or at most four times as often as its item's median one: the
+    copies of an item add alike to all its n-grams, common phrases stand out above.  All rare n-grams are seeds, and
+    the rarest (then first) of each run of ``spacing``, so that no part of an item is without.
+    """
     at = inside(items.first, items.n)
     if not len(at):
         return at
@@ -81,9 +86,9 @@ def choose_seeds(items: Items, counts: np.ndarray, spacing: int) -> np.ndarray:
     item = np.searchsorted(items.first, at, "right") - 1
     for lo, hi in zip(*_runs(item), strict=True):
         c = count[lo:hi]
-        width = min(spacing, hi - lo)
-        view = np.lib.stride_tricks.sliding_window_view(c, width)
-        out.append(at[lo + np.unique(view.argmin(axis=1) + np.arange(len(view)))])
+        view = np.lib.stride_tricks.sliding_window_view(c, min(spacing, hi - lo))
+        rare = np.flatnonzero(c <= max(few, 4 * np.median(c)))
+        out.append(at[lo + np.union1d(rare, view.argmin(axis=1) + np.arange(len(view)))])
     return np.concatenate(out)
 
 
