@@ -17,7 +17,6 @@ tasks returned are in the manifest, so that lost executors and repeated attempts
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import uuid
@@ -53,10 +52,11 @@ class PieceEncoder:
 
     A byte-level BPE splits texts before merging, always in front of a space that stands alone between two other
     characters.  Such pieces are therefore encoded once and joined; texts with other white space next to a space, or
-    with the text of a special token, go through the tokenizer whole.  The memory is bounded by ``most`` words.
+    with the text of a special token, go through the tokenizer whole.  The memory is bounded by ``most`` words and those
+    of one batch.
     """
 
-    def __init__(self, path: str, width: int = 0, most: int = 300_000):
+    def __init__(self, path: str, width: int = 0, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executors' cores are taken already
         from tokenizers import Tokenizer
 
@@ -68,8 +68,8 @@ class PieceEncoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
         self.most = most
-        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and self.tokenizer.normalizer is None
+        split = repr(self.tokenizer.pre_tokenizer)  # the tokenizer's whole JSON would take far more memory
+        self.by_word = split.startswith("ByteLevel(") and "add_prefix_space=False" in split and "use_regex=True" in split and self.tokenizer.normalizer is None
         #: Ids whose first byte is a space, which byte-level vocabularies write as U+0120.
         self.leads = np.zeros(size, bool)
         self.leads[[k for x, k in vocabulary.items() if x.startswith("\u0120")]] = True
@@ -97,9 +97,10 @@ class PieceEncoder:
         if not self.by_word:
             return self._whole(texts)
         split = [None if any(x in t for x in self.special) else t.split(" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = set().union(*(x[1:] for x in split if x)).difference(self.words)
+        used = set().union(*(x[1:] for x in split if x))
+        if len(self.words) > self.most:  # keep the words of these texts, among them the frequent ones
+            self.words = {x: self.words[x] for x in used if x in self.words}
+        new = used.difference(self.words)
         if new:
             self._learn(list(new))
         find = self.words.__getitem__
