@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalink.llm import decontam, mixing, quality, simhash, tokens
+from vitalink.llm import decontam, mixing, quality, similar, tokens
 from vitalink.llm.common import shared_dir
 from vitalink.llm.queries import TOKENIZER, table
 
@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

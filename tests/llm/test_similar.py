@@ -1,0 +1,78 @@
+import random
+
+import pytest
+
+from vitalink.llm import similar
+
+from .conftest import awkward, prose
+
+
+def shingles(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")).split(" ")
+    w = [x for x in w if x]
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_kept(texts):
+    """(id, text) of the first row of each component, all pairs compared."""
+    sets = [shingles(t) for _, t in texts]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    ids = {}
+    for k, (i, _) in enumerate(texts):
+        ids.setdefault(root(k), []).append((i is None, i or 0))
+    return sorted(map(min, ids.values()))
+
+
+def edited(base, n, rng):
+    w = list(base)
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    rng = random.Random(6)
+    texts = [(k, prose(k, 60)) for k in range(1000, 1040)]
+    for base in range(12):
+        w = prose(base, 150).split()
+        texts += [(2000 + 10 * base + k, edited(w, k, rng)) for k in range(7)]
+    crowd = prose(77, 146).split()  # many copies, half of their pairs below the similarity
+    texts += [(5000 + k, edited(crowd, 1 + k % 7, rng)) for k in range(150)]
+    line = prose(78, 40)
+    texts += [(7000 + k, f"{line} {prose(k, 14)}") for k in range(60)]  # a common passage, not copies
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("most", [1, 24, 10_000])
+def test_groups_match_all_pairs(table, copies, most):
+    docs = table([(i, t, "en", "a") for i, t in copies])
+    kept = similar.keep_one(docs, most=most)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect()) == brute_kept(copies)
+
+
+def test_near_copies_leave_the_pipeline(table):
+    import corpus_pipeline
+
+    base = prose(9, 300).split()
+    docs = table([(1, " ".join(base), "en", "a"), (2, edited(base, 5, random.Random(1)), "en", "a"), (3, prose(10, 300), "en", "a")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").select("doc_id").collect()) == [1, 3]
+
+
+def test_awkward_rows(odd, none):
+    texts = [(i, t) for i, t, _, _ in awkward()]
+    kept = similar.keep_one(odd).select("doc_id").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == brute_kept(texts)
+    assert similar.keep_one(none).count() == 0

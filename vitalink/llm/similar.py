@@ -1,0 +1,336 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, found with an exact prefix join.
+
+Two sets with a similarity of 4/5 or more share one of the first ``n - ceil(4 n / 5) + 1`` values of each, in any common
+order; here rare values come first.  Texts with equal sets are one from the start.  Sets that share a prefix value
+are compared pair by pair where few share it; where many do, each is compared with one of them, and what the links
+found so far have not connected is compared in full, component by component.  No pair that can change a component is
+left out.  Only sets are told apart by 64 bits of hash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, inside, mix, shuffle_partitions, small_batches, utf8, window_hashes, word_hashes, words
+from .components import connected_components
+
+SHINGLE = 5
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first, set): the sorted different shingle hashes of all texts, where those of each start, a hash of each set.
+
+    A text of fewer words than a shingle is one shingle; null and blank texts have the empty set, whose hash is 0.
+    """
+    raw, at = utf8(column)
+    raw = _LOWER[raw]
+    start, end, first = words(raw, at)
+    h = word_hashes(raw, start, end)
+    place = inside(first, shingle)
+    value = window_hashes(h, shingle)[place] if len(place) else np.zeros(0, np.uint64)
+    owner = np.searchsorted(first, place, "right") - 1
+    count = np.diff(first)
+    short = np.flatnonzero((count > 0) & (count < shingle))
+    if len(short):
+        alone = [window_hashes(h[first[k] : first[k + 1]], int(count[k]))[0] + np.uint64(count[k]) for k in short.tolist()]
+        value, owner = np.concatenate([value, mix(np.array(alone, np.uint64))]), np.concatenate([owner, short])
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[new], owner[new]
+    first = np.searchsorted(owner, np.arange(len(column) + 1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(1)), dtype=np.uint64)])
+    return value, first, mix(total[first[1:]] - total[first[:-1]])
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).cast("string").alias("text"))
+
+
+def _once(batches):
+    """(values, first, set, rows) of each batch; rows are those whose set this task has not had."""
+    seen: set[int] = set()
+    for batch in batches:
+        value, first, label = shingle_sets(batch.column(0))
+        rows = []
+        for k, x in enumerate(label.tolist()):
+            if x not in seen:
+                seen.add(x)
+                rows.append(k)
+        yield value, first, label, rows
+
+
+def frequent(docs: DataFrame, text_col: str, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), sorted by hash, of shingles that many sets have.
+
+    They only order the values, so that it does not matter that a task leaves out those that it has had a few times.
+    """
+
+    def count(batches):
+        kept = [value[first[k] : first[k + 1]] for value, first, _, rows in _once(batches) for k in rows]
+        value, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(value[n >= 8].view(np.int64)), pa.array(n[n >= 8].astype(np.int64))], names=["h", "n"])
+
+    found = _texts(docs, text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    table = found.where(F.col("n") >= n_docs // 1000).toPandas()
+    h, n = table["h"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def near(common, a, b):
+    """Whether sets of sizes a and b with so many common values have a Jaccard similarity of 4/5 or more."""
+    return 9 * common >= 4 * (a + b)
+
+
+def signature(values: np.ndarray) -> bytes:
+    """The parity of how many values fall on each of two to four bits a value: sets differ in as many values at least as bits."""
+    m = 1 << min(16, max(8, int(2 * len(values) - 1).bit_length()))
+    return np.packbits(np.bincount((values & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def may_be_near(x: bytes, y: bytes, n: int) -> bool:
+    """False only if two sets, of n values together, with these signatures are not near."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return n >= 9 * int(np.bitwise_count(a ^ b).sum())
+
+
+def prefix_rows(docs: DataFrame, text_col: str, n_docs: int, n_bins: int) -> DataFrame:
+    """(bin, key, label, n): the prefix values of each set, with its hash and size; a set may repeat, once for each task."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, n_docs))
+
+    def run(batches):
+        known, times = often.value
+        for value, first, label, rows in _once(batches):
+            size = np.diff(first)
+            owner = np.repeat(np.arange(len(size)), size)
+            rank = np.zeros(len(value), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                rank = np.where(known[at] == value, times[at], 0)
+            order = np.lexsort((value, rank, owner))
+            take = np.zeros(len(size), np.int64)
+            take[rows] = (size - (4 * size + 4) // 5 + 1)[rows]
+            take[size == 0] = 0
+            part = order[np.arange(len(value)) - np.repeat(first[:-1], size) < np.repeat(take, size)]
+            key, who = value[part], owner[part]
+            to = (mix(key) >> np.uint64(20)) % np.uint64(n_bins)
+            columns = [pa.array(to.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(label[who].view(np.int64)), pa.array(size[who].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bin", "key", "label", "n"])
+
+    return _texts(docs, text_col).mapInArrow(run, "bin int, key long, label long, n int")
+
+
+def _ranges(key: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal values of a sorted array that have two or more."""
+    edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    long = np.flatnonzero(np.diff(edge) > 1)
+    return list(zip(edge[long].tolist(), edge[long + 1].tolist(), strict=True))
+
+
+def met(rows: DataFrame, n_bins: int, most: int) -> DataFrame:
+    """(key, a, b): pairs of sets that share a value (key null), and the sets of values that over ``most`` share.
+
+    Of the latter each comes with the first of its value (b), itself included.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, label, n = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "label", "n"))
+        order = np.lexsort((label, key))
+        key, label, n = key[order], label[order], n[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (label[1:] != label[:-1])
+        key, label, n = key[new], label[new], n[new]
+        pairs, crowds = set(), []
+        for i, j in _ranges(key):
+            if j - i > most:
+                crowds.append((i, j))
+                continue
+            names, sizes = label[i:j].tolist(), n[i:j].tolist()
+            for x in range(len(names)):
+                for y in range(x):
+                    if 5 * min(sizes[x], sizes[y]) >= 4 * max(sizes[x], sizes[y]):
+                        pairs.add((names[x], names[y]))
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        parts = [(pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()))]
+        parts += [(pa.array(key[i:j]), pa.array(label[i:j]), pa.array(np.full(j - i, label[i]))) for i, j in crowds]
+        return pa.concat_tables([pa.table(list(p), names=["key", "a", "b"]) for p in parts])
+
+    return rows.repartition(n_bins, "bin").groupBy("bin").applyInArrow(meet, "key long, a long, b long")
+
+
+def likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the signatures (label, n, bits) do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [may_be_near(p, q, n + m) for p, q, n, m in zip(x, y, n_a, n_b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (signatures.select(F.col("label").alias(f"_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    rows = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(label, data): the sorted values of each set that ``wanted`` (column label) names, as bytes, once."""
+    names = np.sort(wanted.toPandas()["label"].to_numpy(np.int64))
+    asked = docs.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches):
+        names = asked.value
+        for value, first, label, rows in _once(batches):
+            label = label.view(np.int64)
+            rows = [k for k in rows if np.searchsorted(names, label[k], "right") > np.searchsorted(names, label[k])]
+            data = [value[first[k] : first[k + 1]].tobytes() for k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(label[rows], pa.int64()), pa.array(data, pa.binary())], names=["label", "data"])
+
+    return _texts(docs, text_col).mapInArrow(run, "label long, data binary").groupBy("label").agg(F.first("data").alias("data"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            keep = []
+            for k in range(batch.num_rows):
+                a, b = np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64)
+                keep.append(bool(near(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("label").alias(f"_{x}"), F.col("data").alias(f"data_{x}")) for x in "ab")
+    rows = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    return rows.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+
+
+def crowd_links(label: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect, beyond equal roots, all sets that near pairs connect.
+
+    One set after another is compared with all sets of other components, until only those of the largest are left.
+    """
+    size = np.array([len(s) for s in sets])
+    first = np.concatenate([[0], np.cumsum(size)])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    part = np.unique(root, return_inverse=True)[1]
+    done = np.zeros(len(sets), bool)
+    out = []
+    while True:
+        todo = np.flatnonzero((part != np.bincount(part).argmax()) & ~done)
+        if not len(todo):
+            return out
+        i = int(todo[0])
+        done[i] = True
+        mine = at[first[i] : first[i + 1]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[at], first[:-1])
+        mark[mine] = 0
+        found = np.flatnonzero(near(common, size, size[i]) & (part != part[i]))
+        out += [(int(label[i]), int(x)) for x in label[found[np.unique(part[found], return_index=True)[1]]]]
+        if len(found):
+            part[np.isin(part, part[found])] = part[i]
+
+
+def contested(crowds: DataFrame, signatures: DataFrame, n_bins: int) -> DataFrame:
+    """The rows of crowds (key, label, root) that the signatures do not rule out to be near one of another root."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, label, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "label", "root", "n"))
+        bits = table.column("bits").to_pylist()
+        order = np.lexsort((label, key))
+        keep = np.zeros(len(key), bool)
+        for i, j in _ranges(key[order]):
+            at = order[i:j]
+            part, size = np.unique(root[at], return_inverse=True)[1], n[at]
+            least = min(len(bits[k]) for k in at.tolist())
+            folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, least // 8), axis=0) for k in at.tolist()])
+            for x in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
+                apart = np.bitwise_count(folded ^ folded[x]).sum(axis=1, dtype=np.int64)
+                alike = (part != part[x]) & (size + size[x] >= 9 * apart) & (5 * np.minimum(size, size[x]) >= 4 * np.maximum(size, size[x]))
+                if alike.any():
+                    keep[at[x]] = True
+                    keep[at[alike]] = True
+        return table.select(["key", "label", "root"]).filter(pa.array(keep))
+
+    rows = crowds.join(signatures, "label").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(n_bins)))
+    return rows.repartition(n_bins, "bin").groupBy("bin").applyInArrow(run, "key long, label long, root long")
+
+
+def unconnected(crowds: DataFrame, sets: DataFrame, n_bins: int) -> DataFrame:
+    """(a, b): the links that crowds (key, label, root) with several roots still need."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, label, root = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "label", "root"))
+        data = table.column("data").to_pylist()
+        order = np.lexsort((label, key))
+        found = []
+        for i, j in _ranges(key[order]):
+            at = order[i:j]
+            found += crowd_links(label[at], root[at], [np.frombuffer(data[k], np.uint64) for k in at.tolist()])
+        a, b = zip(*set(found), strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = crowds.join(sets, "label").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(n_bins)))
+    return rows.repartition(n_bins, "bin").groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+def components(docs: DataFrame, text_col: str, signatures: DataFrame, n_docs: int, most: int = 24) -> DataFrame:
+    """(node, root) of all sets that near pairs connect to others, by their hashes."""
+    n_bins = 4 * shuffle_partitions(docs.sparkSession)
+    found = cut(met(prefix_rows(docs, text_col, n_docs, n_bins), n_bins, most))
+    pairs = cut(likely(found.where("a != b").select("a", "b").distinct(), signatures))
+    wanted = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
+    links = cut(verified(pairs, cut(sets_of(docs, text_col, wanted))))
+    roots = cut(connected_components(links))
+    crowds = found.where("key is not null").select("key", F.col("a").alias("label"), F.col("b").alias("first")).join(roots, F.col("label") == F.col("node"), "left")
+    crowds = crowds.select("key", "label", "first", F.coalesce("root", "label").alias("root"))
+    split = cut(crowds.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"))
+    if split.isEmpty():
+        return roots
+    # values with the same first set go together, so that each set comes once for all of them
+    crowds = crowds.join(split, "key", "left_semi").select(F.col("first").alias("key"), "label", "root").distinct()
+    crowds = cut(contested(crowds, signatures, n_bins))
+    more = unconnected(crowds, sets_of(docs, text_col, crowds.select("label").distinct()), n_bins)
+    return cut(connected_components(links.union(more)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 24) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, then text; rows with a null id come last.
+
+    A group is what pairs of a Jaccard similarity of 4/5 or more, over five-word shingles without regard to ASCII case,
+    connect.  Rows are told apart by id and text, whatever else repeats; of rows with equal id and text one stays.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            value, first, label = shingle_sets(batch.column(2))
+            bits = [signature(value[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(label.view(np.int64)), pa.array(np.diff(first)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "own", "label", "n", "bits"])
+
+    text = F.col(text_col).cast("string")
+    own = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), own.alias("own"), text.alias("text")).mapInArrow(run, "id long, own long, label long, n long, bits binary"))
+    signatures = rows.groupBy("label").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    roots = components(docs, text_col, signatures, rows.count(), most)
+    part = rows.join(roots, F.col("label") == F.col("node"), "left").select(F.coalesce("root", "label").alias("root"), F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "own").alias("row"))
+    kept = part.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.none").alias("_kept_none"), F.col("row.id").alias("_kept_id"), F.col("row.own").alias("_kept_own"))
+    mine = F.col(id_col).cast("long")
+    out = docs.join(kept, (F.coalesce(mine, F.lit(0)) == F.col("_kept_id")) & (mine.isNull() == F.col("_kept_none")) & (own == F.col("_kept_own")), "left_semi")
+    if not rows.groupBy("id", "own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, text_col])
+    return out
