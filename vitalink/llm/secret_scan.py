@@ -8,9 +8,12 @@ form (assignments, access keys, hexadecimal runs) are reported as they are.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from functools import cache
 
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -47,6 +50,21 @@ with from have will not are you all can was one our out day get has him his how
 did its let put say she too use api pass word client auth access bearer basic config production staging local host
 """.split()
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
+
+
+@cache
+def ranks() -> dict[str, int]:
+    """RANK, and after it the words of four letters or more that the tokenizer has as one token, in its order, most frequent first."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    out = dict(RANK)
+    for token, k in sorted(vocabulary.items(), key=lambda x: x[1]):
+        word = token[1:].lower()
+        if token[0] == "\u0120" and len(word) >= 4 and word.isascii() and word.isalpha():
+            out.setdefault(word, len(WORDS) + k)
+    return out
+
+
 #: Rows of a keyboard, for walks.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
@@ -74,6 +92,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     Segments are (start, end, kind), kind one of word, date, repeat, walk, brute.  Each segment beyond the first also
     costs a factor of two, for the choice of the place where it starts.
     """
+    rank_of = ranks()
     low = value.lower()
     plain = low.translate(_LEET)
     n = len(value)
@@ -94,8 +113,8 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         if best[i] + step < best[i + 1]:
             best[i + 1], back[i + 1] = best[i] + step, (back[i][0] if i and back[i][1] == "brute" else i, "brute")
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if (rank := RANK.get(low[i:j]) or RANK.get(plain[i:j])) is not None:
-                changed = (value[i:j] != low[i:j]) + (low[i:j] not in RANK)
+            if (rank := rank_of.get(low[i:j]) or rank_of.get(plain[i:j])) is not None:
+                changed = (value[i:j] != low[i:j]) + (low[i:j] not in rank_of)
                 offer(i, j, math.log10(rank + 1) + changed * more, "word")
         if (m := _DATE.match(value, i)) is not None:
             offer(i, m.end(), math.log10(200 if m.end() - i == 4 else 365 * 120), "date")
@@ -141,8 +160,7 @@ def spans(text: str, maybe: dict[str, bool] | None = None, least: float = 14.0)
             i, j = m.span(1)
             value = m[1].rstrip(".:!?")
             j = i + len(value)
-            mixed = sum([any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value)])
-            if len(value) < 8 or mixed < 2 or not any(c.isdigit() for c in value) or any(x < j and i < y for _, x, y in base):
+            if len(value) < 8 or any(x < j and i < y for _, x, y in base):
                 continue
             # a value of any length is costed piece by piece: the cost only grows with the pieces
             cost = sum(guess_cost(value[at : at + 200])[0] for at in range(0, len(value), 200))
