@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Wide patterns propose candidate spans.  Five labelers vote on each (1 personal, -1 not, 0 no opinion): the strict
-pattern, a validity check, a gazetteer, the words before it, and its shape.  Expectation-maximisation over the counts
+Wide patterns propose candidate spans.  Those inside a span of the strict
+patterns are dropped.  Four labelers vote on each other one (1 personal, -1 not, 0 no opinion): a validity check, a
+gazetteer, the words before it, and its shape.  Expectation-maximisation over the counts
 of the vote patterns (a table of bounded size, whatever the corpus) estimates how reliable each labeler is; its
 posteriors then train the final span classifier, a logistic regression that is emitted as a Spark expression.  Spans of
 the strict patterns always stay; the classifier adds others.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("pattern", "valid", "gazetteer", "context", "shape")
+LABELERS = ("valid", "gazetteer", "context", "shape")
 
 # The strict patterns match what the plain ones would, leftmost and without overlap, but start only where a run of
 # their characters starts (or the last match ended), so that long runs take linear time.
@@ -118,7 +119,7 @@ def _votes(c: Column) -> Column:
         .otherwise(value.rlike(r"[0-9][ ().-]+[0-9]") & ~value.rlike(r"\s\s"))
     )
     shape = F.when(glued, -1).otherwise(yes(tidy))
-    votes = (yes(base), sign(valid), gazetteer, context, shape)
+    votes = (sign(valid), gazetteer, context, shape)
     return F.struct(
         kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.coalesce(base, F.lit(False)).alias("base"),
         F.array(*(F.coalesce(v, F.lit(0)).cast("int") for v in votes)).alias("votes"),
@@ -126,7 +127,10 @@ def _votes(c: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and found: the candidate spans of each row with their votes, an empty array for most."""
+    """doc_id and found: the candidate spans of each row with their votes, an empty array for most.
+
+    Candidates that overlap a base span are left out: they are the same find, and no example of another class.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digits", F.col("text").rlike("[0-9]"))
     patterns = [(k, True, p) for k, p in STRICT.items()] + [(k, False, p) for k, p in WIDE.items()]
@@ -145,7 +149,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", *(f"m{n}" for n in range(len(patterns))), *(F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).alias(f"p{n}") for n, (_, _, p) in enumerate(patterns)))
     found = [F.coalesce(_located(None, F.col(f"m{n}"), F.col(f"p{n}"), KINDS.index(k), strict), F.expr(_NONE)) for n, (k, strict, _) in enumerate(patterns)]
     rows = rows.select("doc_id", F.concat(*found).alias("spans"))
-    return rows.select("doc_id", F.transform("spans", _votes).alias("found"))
+    rows = rows.select("doc_id", F.transform("spans", _votes).alias("found")).withColumn("fixed", F.filter("found", lambda c: c["base"]))
+    apart = lambda c: ~F.exists("fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    return rows.select("doc_id", F.filter("found", lambda c: c["base"] | apart(c)).alias("found"))
 
 
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict[tuple, float], dict]:
@@ -202,7 +208,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """doc_id and found: an array of (kind, start, end, base, score) for each row of ``docs``, ordered by kind and start.
 
     base spans are those of the strict patterns; of the other candidates those stay whose score is ``least`` or more
-    and that overlap no base span.  Null texts count as empty.  Repeated rows give repeated rows, null ids stay null,
+    and that overlap no base span and no other of a higher score.  Null texts count as empty.  Repeated rows give repeated rows, null ids stay null,
     other columns are ignored.
     """
     rows = cut(candidates(docs, id_col, text_col))
@@ -219,8 +225,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         return out
 
     scored = rows.select("doc_id", F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), score(c).alias("score"))).alias("all"))
-    scored = scored.withColumn("fixed", F.filter("all", lambda c: c["base"]))
-    return scored.select("doc_id", F.array_sort(F.concat("fixed", F.filter("all", lambda c: ~c["base"] & (c["score"] >= least) & ~F.exists("fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))).alias("found"))
+    scored = scored.select("doc_id", F.filter("all", lambda c: c["base"] | (c["score"] >= least)).alias("all"))
+    better = lambda b, c: (b["score"] > c["score"]) | ((b["score"] == c["score"]) & ((b["start"] < c["start"]) | ((b["start"] == c["start"]) & (b["kind"] < c["kind"]))))
+    beaten = lambda c: F.exists("all", lambda b: ~b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]) & better(b, c))
+    return scored.select("doc_id", F.array_sort(F.filter("all", lambda c: c["base"] | ~beaten(c))).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
