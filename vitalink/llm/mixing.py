@@ -105,27 +105,29 @@ def mix(
     most: int = 2,
     seed: str = "mix-1",
     most_patterns: int = 20_000,
+    carry: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, times: one row for each row of ``docs``.
 
+    With ``carry`` each row also has ``row``, a struct of all its columns, so that nothing need be joined back.
+
     ``source_col`` is a string or an array of strings (the sources that hold the document); null is a source of its
     own.  size counts words, 0 for null and blank texts.  source_size and target are of the document's source (of the
     first in order, if there are several); taken is ``times`` (0 .. ``most``) times the size.  Documents come in the
     order of md5(seed, id), so reruns agree; of an epoch's words a document is taken if over half of it fits.  Rows of
-    equal id have equal order and are told apart by size.  The table of patterns is collected: over ``most_patterns``
+    equal id have equal order and are told apart by size, then text.  The table of patterns is collected: over ``most_patterns``
     of them are refused with an error.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     source = F.col(source_col) if isinstance(source_col, str) else source_col
     kind = docs.select(source.alias("s")).schema["s"].dataType.typeName()
     members = F.coalesce(F.array_sort(F.array_distinct(source)), F.expr("array(cast(null as string))")) if kind == "array" else F.array(source)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        n_words(F.col(text_col)).alias("size"),
-        F.to_json(members).alias("pattern"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("rank"),
-    )
-    rows = cut(rows.withColumn("bucket", F.substring("rank", 1, _DIGITS)))
+    rank = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    fields = [
+        F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.to_json(members).alias("pattern"), rank.alias("rank"),
+        F.substring(rank, 1, _DIGITS).alias("bucket"), F.xxhash64(F.col(text_col)).alias("own"),
+    ]
+    rows = cut(docs.select(*fields))
     buckets = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     found = buckets.groupBy("pattern").agg(F.sum("words").alias("words")).limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
@@ -147,12 +149,20 @@ def mix(
 
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("pattern", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
-    within = Window.partitionBy("pattern", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    if carry:
+        rows = docs.select(*fields, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    within = Window.partitionBy("pattern", "bucket").orderBy("rank", "doc_id", "size", "own").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["pattern", "bucket"])
     # at most most_patterns rows
     placed = placed.join(F.broadcast(amounts), "pattern", "left").withColumn("middle", 2 * (F.col("before") + F.col("inner")) + F.col("size"))
     times = F.size(F.filter("epochs", lambda a: (F.col("size") > 0) & (F.col("middle") <= 2 * a)))
-    return placed.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"))
+    return placed.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"), *(["row"] if carry else []))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, with all their columns (see :func:`mix`)."""
+    taken = mix(docs, carry=True, **options).where("times > 0")
+    return taken.select(F.explode(F.expr("array_repeat(row, times)")).alias("row")).select("row.*")
 
 
 #: The result of :func:`mix` over the documents table, for DuckDB.

@@ -14,6 +14,7 @@ point, and a point has at most 65 of them.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -145,22 +146,26 @@ def value_sketch(distinct: DataFrame, groups: list[list[int]], slots: int) -> np
     return out.reshape(len(groups), slots)
 
 
-def allocate(fp: np.ndarray, groups: list[list[int]], sketch: np.ndarray, tau: int) -> np.ndarray:
-    """Thresholds (-1 .. tau) of each fingerprint and group, of least estimated candidate count, by dynamic programming."""
+def allocate(fp: np.ndarray, groups: list[list[int]], sketch: np.ndarray, tau: int, exact: bool = False) -> np.ndarray:
+    """Thresholds (-1 .. tau) of each fingerprint and group, of least estimated candidate count, by dynamic programming.
+
+    ``sketch`` counts fingerprints by slot of their group's value, or by the value itself if it is ``exact``.
+    """
     m, n, slots = len(groups), len(fp), sketch.shape[1]
     load = sketch.sum(axis=1) / slots
+    slot = (lambda v: v.astype(np.int64)) if exact else (lambda v: _slot(v, slots))
     cost = np.zeros((m, tau + 2, n))  # cost[g, t + 1]
     for g, group in enumerate(groups):
         value = group_value(fp, group)
-        ball = sketch[g, _slot(value, slots)].astype(float)
+        ball = sketch[g, slot(value)].astype(float)
         cost[g, 1] = ball
         if tau >= 1:
             ball = ball.copy()
             for k in range(len(group)):
-                ball += sketch[g, _slot(value ^ np.uint64(1 << k), slots)]
+                ball += sketch[g, slot(value ^ np.uint64(1 << k))]
             cost[g, 2] = ball + len(group)
         for t in range(2, tau + 1):
-            size = sum(1 for _ in combinations(range(len(group)), t))
+            size = comb(len(group), t)
             cost[g, t + 1] = cost[g, t] + size * (load[g] + 1)
     spend = tau - m + 1 + m  # thresholds plus one each
     best = np.full((m + 1, spend + 1, n), np.inf)
