@@ -88,27 +88,8 @@ def test_allocation_spends_the_whole_budget():
     assert (t.sum(axis=0) == 2 - 3 + 1).all() and t.min() >= -1
 
 
-def test_keep_one_keeps_one_of_each_group(odd, none):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
-    assert 1 in ids and 2 not in ids and ids.count(None) == 2
-    assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
-
-
 def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 60)] + [(None, 3), (4, 4), (2, 1), (1, 2)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {k: 100 for k in range(100, 161)} | {k: 5 for k in range(5, 60)} | {1: 1, 2: 1}
     assert got == want
-
-
-def test_near_copies_are_linked(table):
-    base = prose(9, 900).split(" ")
-    changed = list(base)
-    changed[400] = "other"
-    got = {r.doc_id: r for r in simhash.near_duplicates(table([(1, " ".join(base), "en", "a"), (2, " ".join(base).upper(), "en", "a"), (3, " ".join(changed), "en", "a"), (4, prose(10, 900), "en", "a")])).collect()}
-    assert got[1].component_id == got[2].component_id == 1 and got[4].component_id == 4
-    near = bin(int(got[1].fingerprint, 16) ^ int(got[3].fingerprint, 16)).count("1") <= 2
-    assert (got[3].component_id == 1) == near

@@ -19,28 +19,35 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # ---------------------------------------------------------------- Spark side
 
 
+def _shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a folder under /tmp if the driver is the only machine."""
+    conf = spark.sparkContext.getConf()
+    if base := conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/vitalink-shared"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share.
+    """A new folder that the driver and all executors share."""
+    return f"{_shared_base(spark)}/vitalink-{uuid.uuid4().hex}"
 
-    It lies under ``spark.checkpoint.dir``; where that is unset (local tests) a folder under /tmp is used.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/vitalink-shared"
-    return f"{base.rstrip('/')}/vitalink-{uuid.uuid4().hex}"
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store Spark has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the shared checkpoint folder and forget its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/vitalink-shared")
+        sc.setCheckpointDir(_shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of text columns small: their rows can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -154,6 +161,13 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
     return np.arange(total) - np.repeat(skip, count) + np.repeat(first[:-1], count)
 
 
+def sliced(batches, text: int, most: int = 2 << 20):
+    """Arrow batches cut into slices of about ``most`` bytes of a text column (more where one text is longer)."""
+    for batch in batches:
+        for i, j in slices(utf8(batch.column(text))[1], most):
+            yield batch.slice(i, j - i)
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` bytes each (more where one text is longer)."""
     out, at, n = [], 0, len(offsets) - 1

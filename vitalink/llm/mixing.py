@@ -9,6 +9,7 @@ repetition.  Documents of a pattern are then taken whole, in a seeded order, up
 from __future__ import annotations
 
 import json
+import math
 from collections import deque
 from collections.abc import Callable
 
@@ -17,8 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words
 
-BUCKETS = 4096
-_DIGITS = 3  # hexadecimal digits of BUCKETS
+BUCKET_ROWS = 10_000  # documents of a bucket, about, if all had one pattern
 
 
 def cycle_weights(sources: list[str | None], cycle: tuple[float, ...] = (5, 2, 1)) -> dict[str | None, float]:
@@ -125,9 +125,12 @@ def mix(
     rank = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     fields = [
         F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.to_json(members).alias("pattern"), rank.alias("rank"),
-        F.substring(rank, 1, _DIGITS).alias("bucket"), F.xxhash64(F.col(text_col)).alias("own"),
+        F.xxhash64(F.col(text_col)).alias("own"),
     ]
     rows = cut(docs.select(*fields))
+    digits = max(2, math.ceil(math.log(rows.count() / BUCKET_ROWS + 1, 16)))
+    bucket = F.substring("rank", 1, digits)
+    rows = rows.withColumn("bucket", bucket)
     buckets = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     found = buckets.groupBy("pattern").agg(F.sum("words").alias("words")).limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
@@ -150,7 +153,7 @@ def mix(
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("pattern", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
     if carry:
-        rows = docs.select(*fields, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        rows = docs.select(*fields, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("bucket", bucket)
     within = Window.partitionBy("pattern", "bucket").orderBy("rank", "doc_id", "size", "own").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["pattern", "bucket"])
     # at most most_patterns rows

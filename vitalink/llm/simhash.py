@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, small_batches, utf8, words
+from .common import cut, shuffle_partitions, sliced, utf8, words
 from .components import connected_components
 
 SEED = 42
+BIN_ROWS = 1 << 19  # index and probe rows of a task, on average
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SLOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,10 +62,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or blank text has the fingerprint 0; a text of fewer words than a shingle is one shingle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             raw, at = utf8(batch.column(1))
             data = raw.tobytes()
             found = [text_fingerprint(data[i:j], shingle) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -241,7 +241,6 @@ def links(distinct: DataFrame, tau: int = 2, m: int = 3, slots: int = 1 << 14, m
     if not 1 <= m <= tau + 1:
         raise ValueError("one to tau + 1 groups")
     spark = distinct.sparkSession
-    n_bins = 4 * shuffle_partitions(spark)
     groups = bit_groups(distinct, m)
     sketch = spark.sparkContext.broadcast(value_sketch(distinct, groups, slots))
 
@@ -254,6 +253,7 @@ def links(distinct: DataFrame, tau: int = 2, m: int = 3, slots: int = 1 << 14, m
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner.view(np.int64))], names=["key", "fp"])
 
     rows = cut(distinct.select("fp").mapInArrow(probe, "key long, fp long"))
+    n_bins = max(4 * shuffle_partitions(spark), rows.count() // BIN_ROWS)
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("key").alias("k"))
     marked = rows.join(crowded, F.col("key") == F.col("k"), "left")
 
@@ -320,16 +320,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = member.join(least, "root").select(F.col("fp").alias("label_fp"), "component_id")
     return prints.join(label, prints["fp"] == label["label_fp"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their near-duplicate group; of rows of equal id one stays.
-
-    Rows with a null id are kept: nothing tells them apart.
-    """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not ids.isEmpty():
-        known = known.dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))

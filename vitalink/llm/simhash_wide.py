@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, inside, mix, shuffle_partitions, slices, small_batches, utf8, window_hashes, word_hashes, words
+from .common import cut, inside, mix, shuffle_partitions, sliced, slices, utf8, window_hashes, word_hashes, words
 from .components import connected_components
 from .simhash import allocate, bit_groups, group_value
 
@@ -32,7 +32,7 @@ _LOWER[65:91] += 32
 #: Each byte as eight bytes of one bit each, so that eight counters of up to 255 fit one addition.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _RECORD = np.dtype([("w", "<u8", WORDS), ("n", "<u4")])
-_BIN_BYTES = 16 << 20
+_BIN_BYTES = 4 << 20
 _ROW = 64  # texts of a cell that are compared at once
 
 
@@ -360,10 +360,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     stays.  Texts are told apart by 64 bits of hash of their fingerprint and size.  All columns of ``docs`` stay; an
     empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             w, n = wide_prints(batch.column(2))
             columns = [batch.column(0), batch.column(1), pa.array(names(w, n).view(np.int64)), *(pa.array(w[:, k].copy().view(np.int64)) for k in range(WORDS)), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "own", "name", *(f"w{k}" for k in range(WORDS)), "n"])
