@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from vitalink.llm import pii
 
 from .conftest import prose
@@ -9,3 +14,34 @@ def test_wide_phones_are_found_at_the_production_threshold(table):
     found = {r.doc_id: r.found for r in pii.find(table(texts)).collect()}
     assert all(len(found[k]) == 1 and found[k][0].base for k in range(1000, 1060))
     assert all(len(found[k]) == 1 and not found[k][0].base for k in range(2000, 2040))
+
+
+def test_planted_spans_among_look_alikes(table):
+    """Personal data of wide form is added; numbers of the same form in other contexts mostly are not."""
+    rng = random.Random(3)
+    texts, truth = [], set()
+    for k in range(400):
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        if k % 2:
+            truth.add(k)
+            body = rng.choice([f"phone: {number}, ", f"please call {number} today", f"mobile {number}."])
+        else:
+            body = rng.choice([f"order {number}x7", f"serial {number}-00", f"invoice version {number}A", f"part no {number}"])
+        texts.append((k, f"{prose(k, 20)} {body} {prose(k + 500, 9)}", "en", "a"))
+    got = {r.doc_id for r in pii.find(table(texts)).where(F.size("found") > 0).collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got - truth) <= 0.1 * len(truth)
+
+
+def test_traits_move_the_score():
+    votes = {(0, (1, 1, 1, 1), (1, 0, 1, 1)): 500, (0, (-1, 0, -1, -1), (0, 0, 0, 0)): 500, (0, (1, 0, 0, 0), (1, 0, 1, 1)): 40, (0, (1, 0, 0, 0), (0, 0, 0, 0)): 40}
+    w = pii.train(votes)[0]
+    assert len(w) == len(pii.LABELERS) + len(pii.TRAITS) + 1 and w[len(pii.LABELERS)] > 0.1
+
+
+def test_long_values_take_linear_time(table):
+    long = ["a@" + "x" * 400_000 + ".com", "a@" + "x." * 200_000 + "com", "y" * 400_000 + "@b.com", "+" + "1 (" * 130_000 + "2", "1." * 200_000, "1 " * 200_000, "1-" * 200_000, ":a" * 200_000, "(" * 400_000, "[at]" * 100_000]
+    docs = table([(k, t, "en", "a") for k, t in enumerate(long)])
+    pii.digest(pii.find(table([(0, "a@b.com", "en", "a")]))).collect()
+    began = time.time()
+    assert pii.digest(pii.find(docs)).count() == len(long)
+    assert time.time() - began < 60

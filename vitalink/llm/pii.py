@@ -4,8 +4,9 @@ Wide patterns propose candidate spans.  Those inside a span of the strict
 patterns are dropped.  Four labelers vote on each other one (1 personal, -1 not, 0 no opinion): a validity check, a
 gazetteer, the words before it, and its shape.  Expectation-maximisation over the counts
 of the vote patterns (a table of bounded size, whatever the corpus) estimates how reliable each labeler is; its
-posteriors then train the final span classifier, a logistic regression that is emitted as a Spark expression.  Spans of
-the strict patterns always stay; the classifier adds others.
+posteriors then train the final span classifier, a logistic regression over the votes and over traits of the span and
+its surroundings that no labeler looks at, emitted as a Spark expression.  Spans of the strict patterns always stay; the
+classifier adds others.  No expression takes more than linear time in the length of a text or a span.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("valid", "gazetteer", "context", "shape")
+TRAITS = ("after a sign", "begins a line", "usual length", "clean end")
 
 # The strict patterns match what the plain ones would, leftmost and without overlap, but start only where a run of
 # their characters starts (or the last match ended), so that long runs take linear time.
@@ -55,8 +57,15 @@ _SPAN = "struct<kind:int,start:int,end:int,strict:boolean,value:string,before:st
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
 
-def _located(text: Column, matches: Column, pieces: Column, kind: int, strict: bool) -> Column:
-    """Structs of the matches of a pattern, from the matches and the pieces between them; places in code points."""
+_BLOCK = 512
+
+
+def _located(matches: Column, pieces: Column, kind: int, strict: bool) -> Column:
+    """Structs of the matches of a pattern, from the matches and the pieces between them; places in code points.
+
+    Places are summed up within blocks of matches, then over the blocks, so that very many matches take no square of time.
+    """
+    fields = lambda c, start: (c["kind"].alias("kind"), (c["start"] + start).alias("start"), (c["end"] + start).alias("end"), *(c[x].alias(x) for x in ("strict", "value", "before", "after")))
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(pieces[i])
@@ -67,8 +76,15 @@ def _located(text: Column, matches: Column, pieces: Column, kind: int, strict: b
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda acc: acc["out"]))
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda c: F.struct(*fields(c, acc["at"])))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
+    last = F.size(matches) - 1
+    block = lambda i: F.aggregate(F.sequence(i, F.least(i + F.lit(_BLOCK - 1), last)), none, step)
+    blocks = F.transform(F.sequence(F.lit(0), last, F.lit(_BLOCK)), block)
+    return F.when(F.size(matches) > 0, F.aggregate(blocks, none, join, lambda acc: acc["out"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -99,7 +115,7 @@ def _votes(c: Column) -> Column:
     base = c["strict"] & F.when(is_kind("email"), True).otherwise(valid)
     sign = lambda x: F.when(x, 1).otherwise(-1)
     yes = lambda x: F.when(x, 1).otherwise(0)
-    ending = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+    ending = F.lower(F.regexp_extract(F.right(value, F.lit(30)), r"([A-Za-z0-9-]+)$", 1))  # the list has none as long
     code = F.array(*(F.substring(digits, 1, k) for k in (1, 2, 3)))
     gazetteer = (
         F.when(is_kind("email"), yes(ending.isin(TOP_LEVEL)))
@@ -120,9 +136,14 @@ def _votes(c: Column) -> Column:
     )
     shape = F.when(glued, -1).otherwise(yes(tidy))
     votes = (sign(valid), gazetteer, context, shape)
+    usual = (
+        F.when(is_kind("email"), F.length(value).between(8, 40)).when(is_kind("ip"), F.length(value).between(9, 15))
+        .when(is_kind("card"), n.isin(15, 16)).otherwise(n.between(10, 12))
+    )
+    traits = (c["before"].rlike(r"[:=#]\s?$"), c["before"].rlike(r"(?:^|\n)\s*$"), usual, c["after"].rlike(r"^(?:$|[\s,.;)])"))
     return F.struct(
         kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.coalesce(base, F.lit(False)).alias("base"),
-        F.array(*(F.coalesce(v, F.lit(0)).cast("int") for v in votes)).alias("votes"),
+        F.array(*(F.coalesce(v, F.lit(0)).cast("int") for v in votes)).alias("votes"), F.array(*(F.coalesce(yes(t), F.lit(0)).cast("int") for t in traits)).alias("traits"),
     )
 
 
@@ -147,7 +168,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         columns.append(F.when(hint, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"m{n}"))
     rows = rows.select("doc_id", "text", *columns)
     rows = rows.select("doc_id", *(f"m{n}" for n in range(len(patterns))), *(F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).alias(f"p{n}") for n, (_, _, p) in enumerate(patterns)))
-    found = [F.coalesce(_located(None, F.col(f"m{n}"), F.col(f"p{n}"), KINDS.index(k), strict), F.expr(_NONE)) for n, (k, strict, _) in enumerate(patterns)]
+    found = [F.coalesce(_located(F.col(f"m{n}"), F.col(f"p{n}"), KINDS.index(k), strict), F.expr(_NONE)) for n, (k, strict, _) in enumerate(patterns)]
     rows = rows.select("doc_id", F.concat(*found).alias("spans"))
     rows = rows.select("doc_id", F.transform("spans", _votes).alias("found")).withColumn("fixed", F.filter("found", lambda c: c["base"]))
     apart = lambda c: ~F.exists("fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -177,19 +198,24 @@ def expectation_maximisation(counts: dict[tuple, int], rounds: int = 40) -> tupl
     return q, chance
 
 
-def train(patterns: dict[tuple[int, tuple], int], rounds: int = 200, decay: float = 1e-3) -> dict[int, list[float]]:
-    """Weights (one for each vote, and a constant) of the span classifier of each kind, from the posteriors."""
+def train(patterns: dict[tuple[int, tuple, tuple], int], rounds: int = 200, decay: float = 1e-3) -> dict[int, list[float]]:
+    """Weights (one for each vote and each trait, and a constant) of the span classifier of each kind.
+
+    ``patterns`` counts candidates by kind, votes and traits; the posteriors of the votes are what is learned.
+    """
     out = {}
     for kind in range(len(KINDS)):
-        counts = {v: n for (k, v), n in patterns.items() if k == kind}
-        w = [0.0] * (len(LABELERS) + 1)
-        if counts:
+        rows = [((*v, *t, 1), v, n) for (k, v, t), n in sorted(patterns.items()) if k == kind]
+        w = [0.0] * (len(LABELERS) + len(TRAITS) + 1)
+        if rows:
+            counts: dict[tuple, int] = {}
+            for _, v, n in rows:
+                counts[v] = counts.get(v, 0) + n
             q, _ = expectation_maximisation(counts)
             total = sum(counts.values())
             for turn in range(rounds):
                 slope = [decay * x for x in w]
-                for v, n in counts.items():
-                    x = (*v, 1)
+                for x, v, n in rows:
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
                     for k, b in enumerate(x):
                         slope[k] += n / total * (p - q[v]) * b
@@ -212,15 +238,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     other columns are ignored.
     """
     rows = cut(candidates(docs, id_col, text_col))
-    tally = rows.select(F.explode("found").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
-    weights = train({(r["kind"], tuple(r["votes"])): r["n"] for r in tally.collect()})
+    tally = rows.select(F.explode("found").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.traits").alias("traits")).agg(F.count(F.lit(1)).alias("n"))
+    # at most kinds x 3^labelers x 2^traits rows
+    weights = train({(r["kind"], tuple(r["votes"]), tuple(r["traits"])): r["n"] for r in tally.collect()})
 
     def score(c: Column) -> Column:
         out = F.lit(0.0)
         for kind, w in weights.items():
             z = F.lit(w[-1])
             for k, a in enumerate(w[:-1]):
-                z = z + F.lit(a) * c["votes"][k]
+                z = z + F.lit(a) * (c["votes"][k] if k < len(LABELERS) else c["traits"][k - len(LABELERS)])
             out = F.when(c["kind"] == kind, 1 / (1 + F.exp(-z))).otherwise(out)
         return out
 
