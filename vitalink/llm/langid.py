@@ -1,7 +1,7 @@
 """Hierarchical language identification.
 
-A text's language family is predicted first; within the family, linear support vector machines, one against the rest,
-separate the closely related languages.  All models are linear in the relative frequencies of hashed byte n-grams
+A text's language family is predicted first; within the family, linear support vector machines, one for each pair of its
+languages, vote on the closely related ones.  All models are linear in the relative frequencies of hashed byte n-grams
 (1 to 3 bytes) of the lower-cased text, so the score of a whole text is the mean of one table look-up for each n-gram,
 whatever its length.
 """
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8
+from .common import sliced, slices, utf8
 
 #: Families of ISO 639-1 languages; each other language is a family of its own.
 FAMILIES = {
@@ -30,15 +30,18 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
-_BITS = 13
-DIMENSIONS = 1 << _BITS
+#: The features: 2^13 hashed n-grams.
+DIMENSIONS = 1 << 13
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 UNDETERMINED = "und"
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """Hashed n-grams that start at each byte: three rows (1, 2 and 3 bytes)."""
+def grams(raw: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Hashed n-grams that start at each byte: three rows (1, 2 and 3 bytes).
+
+    N-grams that would cross the end of their text are none: they have the number ``dimensions``.
+    """
     a = raw.astype(np.uint32)
     b = np.zeros_like(a)
     b[:-1] = a[1:]
@@ -46,20 +49,26 @@ def grams(raw: np.ndarray) -> np.ndarray:
     c[:-2] = a[2:]
     two = a | b << np.uint32(8)
     three = two | c << np.uint32(16)
-    shift = np.uint32(32 - _BITS)
-    return np.stack([a, (two * np.uint32(2654435761) + np.uint32(0x9E3779B9)) >> shift, (three * np.uint32(2246822519) + np.uint32(0x85EBCA6B)) >> shift]).astype(np.int32)
+    shift = np.uint32(33 - dimensions.bit_length())
+    out = np.stack([a, (two * np.uint32(2654435761) + np.uint32(0x9E3779B9)) >> shift, (three * np.uint32(2246822519) + np.uint32(0x85EBCA6B)) >> shift]).astype(np.int32)
+    size = np.diff(offsets)
+    last = offsets[1:][size > 0] - 1
+    out[1:, last] = dimensions
+    out[2, offsets[1:][size > 1] - 2] = dimensions
+    return out
 
 
 def _sizes(offsets: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(offsets), 1)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def features(raw: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Relative frequencies of the hashed n-grams of each text (dense: for the training sample only)."""
-    out = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
+    out = np.zeros((len(offsets) - 1, dimensions), np.float32)
+    code = grams(raw, offsets, dimensions)
     for k, (i, j) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if j > i:
-            out[k] = np.bincount(grams(raw[i:j]).ravel(), minlength=DIMENSIONS) / (j - i)
+            out[k] = np.bincount(code[:, i:j].ravel(), minlength=dimensions + 1)[:dimensions] / (j - i)
     return out
 
 
@@ -73,12 +82,16 @@ class Linear:
 
 
 def fit(x: np.ndarray, labels: list[str], rounds: int = 12, strength: float = 1e-4, seed: int = 7) -> Linear:
-    """One-versus-one-rest linear support vector machines by averaged stochastic subgradients (Pegasos); classes in order of name."""
+    """Linear support vector machines, one class against the others, by averaged stochastic subgradients (Pegasos).
+
+    Classes are in order of name.  Of two classes one machine is trained, and the other class has its negative.
+    """
     names = sorted(set(labels))
-    y = np.where(np.array(labels)[None, :] == np.array(names)[:, None], 1.0, -1.0)
-    w, b = np.zeros((len(names), x.shape[1]), np.float32), np.zeros(len(names), np.float32)
     if len(names) == 1:
-        return Linear(names, w, b + 1)
+        return Linear(names, np.zeros((1, x.shape[1]), np.float32), np.ones(1, np.float32))
+    machines = names[:1] if len(names) == 2 else names
+    y = np.where(np.array(labels)[None, :] == np.array(machines)[:, None], 1.0, -1.0)
+    w, b = np.zeros((len(machines), x.shape[1]), np.float32), np.zeros(len(machines), np.float32)
     total_w, total_b, steps = np.zeros_like(w), np.zeros_like(b), 0
     rng = np.random.default_rng(seed)
     share = np.maximum((y > 0).mean(axis=1, keepdims=True), 1e-3)
@@ -101,34 +114,67 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 12, strength: float = 1e
                 steps += 1
     w, b = total_w / steps, total_b / steps
     scale = np.abs(w @ x.T + b[:, None]).mean() or 1.0
+    if len(names) == 2:
+        w, b = np.concatenate([w, -w]), np.concatenate([b, -b])
     return Linear(names, (w / scale).astype(np.float32), (b / scale).astype(np.float32))
 
 
+@dataclass
+class Pairs:
+    """One machine for each pair of classes (i, j), i < j: positive for i."""
+
+    names: list[str]
+    pairs: list[tuple[int, int]]
+    weights: np.ndarray  # DIMENSIONS + 1 x pairs; the last row, of no n-gram, is zero
+    bias: np.ndarray
+
+    def decide(self, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class number, confidence) of each row of the machines' mean scores.
+
+        The class that wins the most pairs; of equal ones that of the largest sum of margins, then the first by name.
+        The confidence is the winner's mean share against each other class.
+        """
+        n, size = len(mean), len(self.names)
+        margin = np.zeros((n, size, size))
+        for k, (i, j) in enumerate(self.pairs):
+            margin[:, i, j] = mean[:, k] + self.bias[k]
+            margin[:, j, i] = -margin[:, i, j]
+        wins = (margin > 0).sum(axis=2)
+        total = margin.sum(axis=2)
+        total[wins < wins.max(axis=1, keepdims=True)] = -np.inf
+        pick = total.argmax(axis=1)
+        share = 1 / (1 + np.exp(-4 * np.clip(margin[np.arange(n), pick], -50, 50)))
+        return pick, np.ones(n) if size == 1 else (share.sum(axis=1) - 0.5) / (size - 1)
+
+
+def fit_pairs(x: np.ndarray, labels: list[str]) -> Pairs:
+    """One-versus-one machines: each sees the texts of its two classes only."""
+    names = sorted(set(labels))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    weights, bias = np.zeros((x.shape[1] + 1, len(pairs)), np.float32), np.zeros(len(pairs))
+    for k, (i, j) in enumerate(pairs):
+        at = [n for n, c in enumerate(labels) if c in (names[i], names[j])]
+        machine = fit(x[at], [labels[n] for n in at])
+        weights[:-1, k], bias[k] = machine.weights[0], machine.bias[0]
+    return Pairs(names, pairs, weights, bias)
+
+
 @dataclass
 class Hierarchy:
     family: Linear
-    languages: dict[str, Linear]
-
-    def tables(self) -> tuple[np.ndarray, list[tuple[str, str, int]]]:
-        """All models' weights side by side (n-gram x model), and (family, language, column) rows; families have language ''."""
-        columns, names = [], []
-        for k, name in enumerate(self.family.names):
-            names.append((name, "", len(columns)))
-            columns.append(self.family.weights[k])
-        for name, model in self.languages.items():
-            for k, language in enumerate(model.names):
-                names.append((name, language, len(columns)))
-                columns.append(model.weights[k])
-        return np.ascontiguousarray(np.stack(columns, axis=1)), names
+    table: np.ndarray  # DIMENSIONS + 1 x families
+    languages: dict[str, Pairs]
 
 
 def train(x: np.ndarray, labels: list[str]) -> Hierarchy:
     families = [FAMILY.get(c, c) for c in labels]
-    model = Hierarchy(fit(x, families), {})
-    for name in model.family.names:
+    family = fit(x, families)
+    languages = {}
+    for name in family.names:
         at = [k for k, f in enumerate(families) if f == name]
-        model.languages[name] = fit(x[at], [labels[k] for k in at])
-    return model
+        languages[name] = fit_pairs(x[at], [labels[k] for k in at])
+    table = np.concatenate([family.weights.T, np.zeros((1, len(family.names)), np.float32)])
+    return Hierarchy(family, np.ascontiguousarray(table), languages)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -136,35 +182,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def predict(model: Hierarchy, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language, score) of each text; the score is the family's share times the language's, both from 0 to 1."""
-    table, names = model.tables()
-    n = len(offsets) - 1
-    total = np.zeros((n, table.shape[1]))
+def means(table: np.ndarray, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The mean score of each text and model, from the numbers of its n-grams."""
+    total = np.zeros((len(offsets) - 1, table.shape[1]))
     full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        code = grams(raw)
-        # n-grams that cross the end of a text are of bytes that follow it; they are cut off
-        last = offsets[1:][full] - 1
-        code[1, last] = 0
-        code[2, last] = 0
-        short = last[np.diff(offsets)[full] > 1] - 1
-        code[2, short] = 0
+    if len(full) and table.shape[1]:
         value = table[code[0]] + table[code[1]] + table[code[2]]
         total[full] = np.add.reduceat(value, offsets[:-1][full], axis=0)
-    total /= _sizes(offsets)[:, None]
-    first = [c for f, language, c in names if not language]
-    share = _softmax(total[:, first] + model.family.bias)
+    return total / _sizes(offsets)[:, None]
+
+
+def predict(model: Hierarchy, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text; the score is the family's share times the language's, both from 0 to 1."""
+    n = len(offsets) - 1
+    code = grams(raw, offsets, len(model.table) - 1)
+    share = _softmax(means(model.table, code, offsets) + model.family.bias)
     pick = share.argmax(axis=1)
     language, score = np.empty(n, object), share[np.arange(n), pick]
+    size = np.diff(offsets)
     for k, name in enumerate(model.family.names):
         at = np.flatnonzero(pick == k)
+        if not len(at):
+            continue
         inner = model.languages[name]
-        own = [c for f, x, c in names if f == name and x]
-        part = _softmax(total[at][:, own] + inner.bias)
-        best = part.argmax(axis=1)
+        own = code if len(at) == n else code[:, np.repeat(pick == k, size)]
+        best, sure = inner.decide(means(inner.weights, own, np.concatenate([[0], np.cumsum(size[at])])))
         language[at] = np.array(inner.names, object)[best]
-        score[at] = score[at] * part[np.arange(len(at)), best]
+        score[at] = score[at] * sure
     return language, score
 
 
@@ -180,31 +224,35 @@ def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pc.utf8_lower(texts))
 
 
-def learn(labelled: DataFrame, text_col: str, label_col: str, per_label: int, most_labels: int, most_rows: int = 2400) -> Hierarchy | None:
-    """Fit the hierarchy on a sample of about ``per_label`` texts of each label; None if no row has a label.
+def learn(labelled: DataFrame, text_col: str, label_col: str, per_label: int, most_rows: int = 2400, most_labels: int = 5000, dimensions: int = DIMENSIONS) -> Hierarchy | None:
+    """Fit the hierarchy on a sample of about ``per_label`` different texts of each label; None if no row has a label.
 
-    One pass takes the different texts whose hash falls below their label's share, so no task gathers the sample's
-    candidates.  With many labels each gets fewer, about ``most_rows`` in all.
+    One pass takes the texts whose hash falls below their label's share, so no task gathers the sample's candidates.
+    With many labels each gets fewer, about ``most_rows`` in all but at least 8 of each.  Every label is learned; over
+    ``most_labels`` are refused with an error.
     """
-    spark = labelled.sparkSession
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(most_labels + 1).collect()
     if not counts:
         return None
+    if len(counts) > most_labels:
+        raise ValueError(f"over {most_labels} labels")
     each = min(per_label, max(8, most_rows // len(counts)))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], each / r["n"])))
+    # a row for each label, at most most_labels
+    share = labelled.sparkSession.createDataFrame([(r["label"], each / r["n"]) for r in counts], "of string, share double")
 
     def extract(batches):
         for batch in batches:
-            x = features(*lowered(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["label", "x"])
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                x = features(*lowered(part.column(1)), dimensions)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["label", "x"])
 
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    some = rows.withColumn("h", F.xxhash64("text")).where(place < F.element_at(share, F.col("label")))
+    some = rows.join(F.broadcast(share), F.col("label") == F.col("of")).where(place < F.col("share"))
     some = some.groupBy("label", "h").agg(F.first("text").alias("text")).select("label", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     found = some.mapInArrow(extract, "label string, x binary").collect()
-    small_batches(spark)
     if not found:
         return None
     found.sort(key=lambda r: (r["label"], bytes(r["x"])))
@@ -214,14 +262,14 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, per_label: int, mo
 def identify(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", carry: tuple = ()) -> DataFrame:
     """The ``carry`` columns, lang_pred and score of each row: ``und`` with score 0 if a text is null or has no letter, or there is no model."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
+    last = len(carry)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["lang_pred string", "score double"])
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, last):
             raw, offsets = lowered(batch.column(batch.num_columns - 1))
             language, score = np.full(len(offsets) - 1, UNDETERMINED, object), np.zeros(len(offsets) - 1)
             if model is not None:
@@ -234,15 +282,15 @@ def identify(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", c
     return rows.mapInArrow(run, schema)
 
 
-def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, most_labels: int = 200) -> DataFrame:
+def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``.
 
     Rows whose crc32(id as text; null as empty) has the remainder 2 modulo 4 are held out of the training.  The model
-    is fitted on about ``per_label`` texts of each of the ``most_labels`` most frequent labels; predictions see the text
-    alone.  Null and letterless texts are ``und``; so are all where nothing is labelled.  Repeated rows give repeated
-    rows; other columns are ignored.
+    is fitted on about ``per_label`` texts of each label (see :func:`learn`); predictions see the text alone.  Null and
+    letterless texts are ``und``; so are all where nothing is labelled.  Repeated rows give repeated rows; other columns
+    are ignored.
     """
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
-    model = learn(rows.where(~F.col("held_out")), "text", "label", per_label, most_labels)
+    model = learn(rows.where(~F.col("held_out")), "text", "label", per_label, **options)
     return identify(rows, model, "text", ("doc_id", "held_out"))
