@@ -12,6 +12,7 @@ import json
 import math
 import re
 from functools import cache
+from heapq import heappop, heappush
 
 import public_tokenizers
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sliced
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,10 +53,13 @@ did its let put say she too use api pass word client auth access bearer basic co
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
 
 
+WORDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
+
+
 @cache
-def ranks() -> dict[str, int]:
+def ranks(words_file: str = WORDS_FILE) -> dict[str, int]:
     """RANK, and after it the words of four letters or more that the tokenizer has as one token, in its order, most frequent first."""
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(words_file, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     out = dict(RANK)
     for token, k in sorted(vocabulary.items(), key=lambda x: x[1]):
@@ -86,13 +90,25 @@ def _alphabet(text: str) -> int:
     return max(2, size + 33 * any(not c.isalnum() for c in text))
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """(log10 of the guesses, segments) of the cheapest segmentation.
+def _repeats(value: str, size: int) -> list[int]:
+    """For each place, how many characters from there on equal those ``size`` further."""
+    n = len(value)
+    same = [0] * (n + 1)
+    for i in range(n - size - 1, -1, -1):
+        if value[i] == value[i + size]:
+            same[i] = same[i + 1] + 1
+    return same
+
+
+def guess_cost(value: str, enough: float = math.inf, words_file: str = WORDS_FILE) -> tuple[float, list[tuple[int, int, str]]]:
+    """(log10 of the guesses, segments) of the cheapest segmentation of the whole value.
 
     Segments are (start, end, kind), kind one of word, date, repeat, walk, brute.  Each segment beyond the first also
-    costs a factor of two, for the choice of the place where it starts.
+    costs a factor of two, for the choice of the place where it starts.  Words, dates and walks have at most _LONGEST
+    characters, repeats and brute-force spans any number; time and memory grow with the length of the value.  Once every
+    segmentation costs ``enough`` or more the search ends, with a lower bound and no segments.
     """
-    rank_of = ranks()
+    rank_of = ranks(words_file)
     low = value.lower()
     plain = low.translate(_LEET)
     n = len(value)
@@ -100,13 +116,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     best = [0.0] + [math.inf] * n
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     more = math.log10(2)
+    same = {size: _repeats(value, size) for size in (1, 2, 3, 4, 6, 8) if 2 * size <= n}
+    far: list[tuple[float, int]] = []  # segments of repeats that end beyond all others: (cost up to the end, end)
 
     def offer(i: int, j: int, cost: float, kind: str) -> None:
         total = best[i] + cost + (more if i else 0)
         if total < best[j]:
             best[j], back[j] = total, (i, kind)
+            if j > i + _LONGEST:
+                heappush(far, (total, j))
 
-    runs = [i for i in range(n + 1) if i == n or i == 0 or low[i] != low[i - 1]]
     for i in range(n):
         # brute-force spans may go on without the price of a new segment
         step = each if i and back[i][1] == "brute" else each + (more if i else 0)
@@ -119,19 +138,18 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         if (m := _DATE.match(value, i)) is not None:
             offer(i, m.end(), math.log10(200 if m.end() - i == 4 else 365 * 120), "date")
         j = i + 1
-        while j < n and _next(low[j - 1], low[j]):
+        while j < min(n, i + _LONGEST) and _next(low[j - 1], low[j]):
             j += 1
             if j - i >= 3:
                 offer(i, j, math.log10(47 * 4) + math.log10(j - i), "walk")
-        for size in (1, 2, 3, 4, 6, 8):
-            if i + 2 * size > n:
-                break
-            j = i + size
-            while value[j : j + size] == value[i : i + size] and j + size <= n:
-                j += size
-            if j >= i + 2 * size and j - i >= 3:
+        for size, equal in same.items():
+            if equal[i] >= size and (j := i + size + equal[i] // size * size) - i >= 3:
                 offer(i, j, size * each + math.log10((j - i) // size), "repeat")
-    del runs
+        # all segments across this place have been offered
+        while far and far[0][1] <= i:
+            heappop(far)
+        if min(best[i + 1 : i + 1 + _LONGEST]) >= enough and (not far or far[0][0] >= enough):
+            return enough, []
     out, j = [], n
     while j:
         i, kind = back[j]
@@ -140,7 +158,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], out[::-1]
 
 
-def spans(text: str, maybe: dict[str, bool] | None = None, least: float = 14.0) -> list[tuple[str, int, int]]:
+def spans(text: str, maybe: dict[str, bool] | None = None, least: float = 14.0, words_file: str = WORDS_FILE) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start, then kind as listed.  Ends are exclusive, places in code points.
 
     ``least`` is the log10 of the guesses from which a value in a credential context counts.  Such a value is reported
@@ -162,9 +180,7 @@ def spans(text: str, maybe: dict[str, bool] | None = None, least: float = 14.0)
             j = i + len(value)
             if len(value) < 8 or any(x < j and i < y for _, x, y in base):
                 continue
-            # a value of any length is costed piece by piece: the cost only grows with the pieces
-            cost = sum(guess_cost(value[at : at + 200])[0] for at in range(0, len(value), 200))
-            if cost >= least:
+            if guess_cost(value, least, words_file)[0] >= least:
                 found.append(("guess", i, j))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -173,23 +189,24 @@ def listed(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{i}:{j}" for k, i, j in found)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 14.0) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 14.0, words_file: str = WORDS_FILE) -> DataFrame:
     """doc_id and found (array of kind, start, end) of each row of ``docs``.
 
+    ``words_file`` is the tokenizer file, on every machine, whose frequent tokens extend the dictionary.
+
     Null texts count as empty.  Repeated rows give repeated rows; null ids stay null; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = pc.fill_null(batch.column(1), "")
             maybe = {k: pc.match_substring_regex(texts, p).to_pylist() for k, p in _patterns().items()}
             rows: list = [[]] * len(texts)
             for n in range(len(texts)):
                 flags = {k: v[n] for k, v in maybe.items()}
                 if any(flags.values()):
-                    rows[n] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans(texts[n].as_py(), flags, least)]
+                    rows[n] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans(texts[n].as_py(), flags, least, words_file)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
