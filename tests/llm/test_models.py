@@ -79,7 +79,7 @@ def test_pii_classifier_adds_spans(table):
     texts = [(k, f"{prose(k, 20)} call +1 (212) 555-{k:04d} now {prose(k + 500, 9)}", "en", "a") for k in range(1000, 1060)]
     texts += [(k, f"{prose(k, 20)} phone 212-555-{k:04d} please", "en", "a") for k in range(2000, 2040)]
     found = pii.find(table(texts), least=0.5).select("doc_id", F.size("found").alias("n")).collect()
-    assert sum(r.n for r in found if r.doc_id < 2000) == 60 and sum(r.n for r in found if r.doc_id >= 2000) >= 0
+    assert sum(r.n for r in found if r.doc_id < 2000) == 60 and sum(r.n for r in found if r.doc_id >= 2000) == 40
 
 
 # ------------------------------------------------------------------ languages
@@ -283,13 +283,65 @@ def test_decontaminate_keeps_clean_rows_and_columns(leaks, none, odd):
     assert decontam.decontaminate(odd, benchmark.where("false")).count() == odd.count()
 
 
-def test_seeds_leave_no_gap():
-    texts = pa.array([prose(3, 100), "a b", "one two three"])
-    items = decontam.Items([0, 1, 2], *decontam.hashed(texts), 3).index()
-    counts = np.arange(len(items.grams))
-    at = decontam.choose_seeds(items, counts, 4)
-    inner = at[at < items.first[1]]
-    assert np.diff(inner).max() <= 4 and len(at) == len(inner) + 1
+def brute_contaminated(docs, items, few=16, few_items=8, company=4, least=0.5):
+    """(doc, item, score) of all pairs, from the stated rules, one pair at a time; scores of whole documents."""
+    split = lambda t: [w for w in re.split(r"[^a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) if w]
+    grams = lambda w, n: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+    texts, parts = {i: split(t) for i, t in docs}, {i: split(t) for i, t in items}
+    classes = {tuple(w) for w in parts.values()}
+    number = {w: k for k, w in enumerate(sorted({x for w in [*texts.values(), *parts.values()] for x in w}))}
+    out = set()
+    for i, w in parts.items():
+        fit = [n for n in decontam.LADDER if n <= len(w)]
+        own = lambda n: [g for g in grams(w, n) if sum(g in grams(c, n) for c in classes) <= few_items]  # noqa: B023, E731
+        seeds = next((own(n) for n in fit if own(n)), grams(w, fit[-1]) if fit else [])
+        if not seeds:
+            continue
+        total = {g: sum(grams(t, len(g)).count(g) for t in texts.values()) for g in set(seeds)}
+        for d, t in texts.items():
+            hits = [(k - j, total[g]) for j, g in enumerate(grams(w, len(seeds[0]))) if g in seeds for k, x in enumerate(grams(t, len(g))) if x == g]
+            for _, group in clusters(sorted(hits), max(6, len(w) // 4)):
+                if len(group) >= min(len(seeds), 2 if any(c <= few for _, c in group) else company):
+                    score = brute_alignment([number[x] for x in w], [number[x] for x in t]) / (2 * len(w))
+                    if score >= least:
+                        out.add((d, i))
+    return out
+
+
+def clusters(hits, slack):
+    found = []
+    for h in hits:
+        if found and h[0] - found[-1][1][-1][0] <= slack:
+            found[-1][1].append(h)
+        else:
+            found.append((h[0], [h]))
+    return found
+
+
+def test_pairs_match_brute_force(leaks):
+    docs, benchmark, _ = leaks
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert got == brute_contaminated(rows, [(r.item_id, r.text) for r in benchmark.collect()])
+
+
+def test_items_of_one_template_do_not_meet_every_document(table, spark):
+    """Ten thousand items share their form; a document that has the form meets the item whose own words it has."""
+    form = "which of the following is the best known {} of all in the list below"
+    items = [(k, form.format(f"w{k}a w{k}b")) for k in range(10_000)] + [(20_000, "which of the following is"), (20_001, form.format("w7a w7b"))]
+    texts = [(k, f"{prose(k, 40)} {form.format(f'w{k}a w{k}b' if k < 10 else f'other{k} thing{k}')} {prose(k + 99, 20)}", "en", "a") for k in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(table(texts), benchmark).collect()}
+    assert got == {(k, k) for k in range(10)} | {(7, 20_001)} | {(k, 20_000) for k in range(20)}
+
+
+def test_an_item_that_leaked_very_often_is_found(table, spark):
+    item = "the quick able stone of a river crossed seven green copper signals in an old winter market house"
+    texts = [(k, f"{prose(k, 30)} {edited(item, 6, k) if k % 2 else item} {prose(k + 900, 20)}", "en", "a") for k in range(200)]
+    texts += [(1000 + k, prose(5000 + k, 60), "en", "a") for k in range(100)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(table(texts), benchmark).collect()}
+    assert len(got & set(range(200))) >= 195 and not got - set(range(200))
 
 
 # ------------------------------------------------------------------ the pipeline
