@@ -79,10 +79,12 @@ def test_token_records_round_trip(spark, odd, none):
         start += len(ids)
     out = shared_dir(spark)
     manifest = tokens.write_records(odd, out, PATH, shard_bytes=20_000)
-    got = tokens.read_records(spark, manifest).collect()
+    got = tokens.read_records(manifest).collect()
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
-    key, ids = tokens.read_record(manifest[-1]["uri"], 0)
-    assert manifest[-1]["n_docs"] >= 1 and ids[-1] == 0 and key is not None
+    last = manifest.orderBy("part").collect()[-1]
+    key, ids = tokens.read_record(last["uri"], 0)
+    assert last["n_docs"] >= 1 and ids[-1] == 0 and key is not None
+    assert sorted(r.start for r in tokens.starts(manifest, block=2).collect()) == sorted(r.start for r in tokens.starts(manifest).collect())
     assert tokens.token_records(none, PATH).count() == 0
 
 
@@ -123,7 +125,8 @@ def test_archives_round_trip(spark):
 def test_archive_layout(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", f"<html><body><p>{prose(k, 200)}</p></body></html>") for k in range(400)], "page_id long, url string, html string").coalesce(1)
     out = shared_dir(spark)
-    (uri,) = warc.write_archives(pages, out)
+    ((uri, n),) = warc.write_archives(pages, out).collect()
+    assert n == 400
     data = open(uri.removeprefix("file://") + ".warc.zst", "rb").read()
     assert data[:4] == bytes.fromhex("5D2A4D18") and int.from_bytes(data[4:8], "little") > 0
     records = list(warc.read_archive(uri))
@@ -132,6 +135,26 @@ def test_archive_layout(spark):
     assert plain[6].startswith(b"<html>") and plain[4] == "response"
 
 
+def test_every_archive_has_a_dictionary_of_the_whole(spark):
+    """Whatever the number and size of the records; samples come from all of the archive."""
+    for records in ([b"x"], [b""], [b"WARC " * 9], [bytes([k]) * 50 for k in range(5)], [prose(1, 3000).encode()], [prose(k, 30).encode() for k in range(300)]):
+        assert 0 < len(warc.build_dictionary(records, 4096)) <= 4096 or not any(records)
+    late = [bytes([65 + k % 20]) * 30 for k in range(4000)] + [b"<nav>only at the end of it</nav>" + prose(k, 20).encode() for k in range(4000)]
+    assert b"only at the end" in warc.build_dictionary(late, 4096)
+    pages = spark.createDataFrame([(k, None, prose(k, 60)) for k in range(200)] + [(900, None, "z" * 300_000)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, shared_dir(spark), archive_bytes=20_000)
+    assert manifest.count() > 3 and warc.read_archives(manifest).count() == 201
+    for r in manifest.collect():
+        data = open(r.uri.removeprefix("file://") + ".warc.zst", "rb").read()
+        assert int.from_bytes(data[4:8], "little") > 0
+
+
+def test_references_beyond_the_broadcast(spark):
+    pages = spark.createDataFrame([(k, None, prose(k % 7 if k % 3 else k, 60)) for k in range(300)], "page_id long, url string, html string")
+    rows = lambda **options: sorted(map(tuple, warc.round_trip(pages, **options).collect()), key=str)
+    assert rows() == rows(few=0) and any(r[3] == "revisit" for r in rows())
+
+
 # ------------------------------------------------------------------ mixing
 
 

@@ -11,8 +11,9 @@ ids, the end id included.  A checksum is masked as ``rotate_right(crc, 15) + 0xa
 that hold checksums stay useful.  The index ``*.idx`` has the uint64 offset of each record and of the end of the
 shard, so a reader can seek to any record and read in shuffled order (:func:`read_record`).
 
-Each task writes its shard under a name of its own attempt and returns that name; only the names that successful
-tasks returned are in the manifest, so that lost executors and repeated attempts leave no trace in the result.
+Each task writes its shard under a name of its own attempt and puts that name in the manifest, a table beside the
+shards; Spark commits the rows of successful attempts only, so that lost executors and repeated attempts leave no trace
+in the result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, small_batches, text_bytes
+from .common import shared_dir, shuffle_partitions, sliced, text_bytes
 
 MAGIC = b"VLREC1"
 _FRAME = struct.Struct("<QI")
@@ -52,8 +53,8 @@ class PieceEncoder:
 
     A byte-level BPE splits texts before merging, always in front of a space that stands alone between two other
     characters.  Such pieces are therefore encoded once and joined; texts with other white space next to a space, or
-    with the text of a special token, go through the tokenizer whole.  The memory is bounded by ``most`` words and those
-    of one batch.
+    with the text of a special token, go through the tokenizer whole.  Two generations of ``most`` words each are kept,
+    and the words of one batch more: a word that is used again comes back from the older one.
     """
 
     def __init__(self, path: str, width: int = 0, most: int = 200_000):
@@ -67,6 +68,7 @@ class PieceEncoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.most = most
         split = repr(self.tokenizer.pre_tokenizer)  # the tokenizer's whole JSON would take far more memory
         self.by_word = split.startswith("ByteLevel(") and "add_prefix_space=False" in split and "use_regex=True" in split and self.tokenizer.normalizer is None
@@ -98,10 +100,12 @@ class PieceEncoder:
             return self._whole(texts)
         split = [None if any(x in t for x in self.special) else t.split(" ") for t in texts]
         used = set().union(*(x[1:] for x in split if x))
-        if len(self.words) > self.most:  # keep the words of these texts, among them the frequent ones
-            self.words = {x: self.words[x] for x in used if x in self.words}
+        if len(self.words) > self.most:
+            self.words, self.older = {}, self.words
         new = used.difference(self.words)
-        if new:
+        back = {x: self.older[x] for x in new if x in self.older}
+        self.words.update(back)
+        if new := new.difference(back):
             self._learn(list(new))
         find = self.words.__getitem__
         joined: list[bytes | None] = []
@@ -127,33 +131,32 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16 << 20) -> list[dict]:
-    """Encode texts and write them as records, in ascending order of id; return the manifest, a dict for each shard.
+def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16 << 20) -> DataFrame:
+    """Encode texts and write them as records, in ascending order of id.
+
+    Return the manifest, which is also a table under ``out``: uri (without suffix), part (the shards' order), n_docs,
+    n_tokens of each shard.
 
     Null texts count as empty (their record has the end id only); null ids come first; rows of equal id are ordered
     by text, and each gives a record.  Other columns are ignored.  An empty table gives no shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(shuffle_partitions(spark), -(-text_bytes(rows, "text")[1] // shard_bytes))
 
     def write(batches):
         encoder = _encoder(tokenizer)
         store = path = sink = None
-        sizes, n_docs, n_tokens, first = [8], 0, 0, None
+        sizes, n_docs, n_tokens = [8], 0, 0
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not texts:
-                continue
             if sink is None:
                 store, base = _open(out)
                 store.create_dir(base, recursive=True)
                 path = f"{base}/{uuid.uuid4().hex}"
                 sink = store.open_output_stream(path + ".rec")
                 sink.write(MAGIC + bytes([encoder.width, 0]))
-                first = ids[0]
             framed = []
             for key, tokens in zip(ids, encoder.encode(texts), strict=True):
                 framed.append(frame(key, tokens + end))
@@ -165,20 +168,26 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_
             sink.close()
             with store.open_output_stream(path + ".idx") as index:
                 index.write(np.cumsum(sizes).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"name": [path.rsplit("/", 1)[1]], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({
+                "uri": [f"{out}/{path.rsplit('/', 1)[1]}"], "part": pa.array([TaskContext.get().partitionId()], pa.int64()),
+                "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()),
+            })
 
     from pyspark import TaskContext
 
-    def tagged(batches):
-        for batch in write(batches):
-            yield batch.append_column("part", pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int64()))
+    rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(write, "uri string, part long, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
+    return spark.read.parquet(f"{out}/manifest")
 
-    shards = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(tagged, "name string, first_id long, n_docs long, n_tokens long, part long").collect()
-    found, start = [], 0
-    for x in sorted(shards, key=lambda x: x["part"]):
-        found.append({"uri": f"{out}/{x['name']}", "start": start, "n_docs": x["n_docs"], "n_tokens": x["n_tokens"]})
-        start += x["n_tokens"]
-    return found
+
+def starts(manifest: DataFrame, block: int = 1024) -> DataFrame:
+    """(uri, start): the number of token ids before each shard, summed up in blocks of ``block`` shards."""
+    rows = manifest.select("uri", "part", "n_tokens", F.floor(F.col("part") / block).alias("block"))
+    blocks = rows.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    before = lambda n, of: F.coalesce(F.sum(n).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each block of shards
+    blocks = F.broadcast(blocks.select(F.col("block").alias("b"), before("n", Window.orderBy("block")).alias("upto")))
+    within = before("n_tokens", Window.partitionBy("block").orderBy("part"))
+    return rows.withColumn("within", within).join(blocks, F.col("block") == F.col("b")).select("uri", (F.col("upto") + F.col("within")).alias("start"))
 
 
 def parse(frame: bytes, width: int) -> tuple[int | None, np.ndarray]:
@@ -200,11 +209,10 @@ def read_record(uri: str, k: int) -> tuple[int | None, np.ndarray]:
         return parse(shard.read_at(hi - lo, lo), shard.read_at(1, 6)[0])
 
 
-def read_records(spark, manifest: list[dict]) -> DataFrame:
+def read_records(manifest: DataFrame) -> DataFrame:
     """Read shards back: doc_id, start (ids of all documents before), n_tokens, ids_crc32, one row for each record."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not manifest:
-        return spark.createDataFrame([], schema)
+    spark = manifest.sparkSession
 
     def read(batches):
         for batch in batches:
@@ -225,11 +233,9 @@ def read_records(spark, manifest: list[dict]) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                             rows = []
 
-    shards = spark.createDataFrame([(x["uri"], x["start"]) for x in manifest], "uri string, start long")
-    return shards.repartition(max(1, min(len(manifest), 4 * shuffle_partitions(spark)))).mapInArrow(read, schema)
+    return starts(manifest).repartition(max(1, 4 * shuffle_partitions(spark))).mapInArrow(read, schema)
 
 
 def token_records(docs: DataFrame, tokenizer: str, out: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as token records under ``out`` (default: a new shared folder) and read them back."""
-    spark = docs.sparkSession
-    return read_records(spark, write_records(docs, out or shared_dir(spark), tokenizer, **options))
+    return read_records(write_records(docs, out or shared_dir(docs.sparkSession), tokenizer, **options))

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, small_batches
+from .common import cut, shared_dir, shuffle_partitions
 
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no capture time
@@ -62,61 +62,57 @@ def parse(data: bytes) -> tuple[int | None, str | None, int, str, str, int | Non
     return number("WARC-Record-ID"), field.get("WARC-Target-URI"), size, digest, "response", None, payload
 
 
-def build_dictionary(records: list[bytes], size: int) -> bytes:
-    """A Zstandard dictionary from records; empty if they are too few to build one."""
-    if sum(map(len, records)) < 4 * size or len(records) < 16:
-        return b""
+def build_dictionary(records: list[bytes], size: int, samples: int = 4000) -> bytes:
+    """A dictionary of at most ``size`` bytes from evenly spaced records of a whole archive.
+
+    Few records are cut into pieces, so that one is enough to learn from; where even the pieces are too few to train on,
+    the dictionary is the records' own bytes (Zstandard's raw-content kind).
+    """
+    step = max(1, len(records) // samples, sum(map(len, records)) // (64 * size))
+    some = records[::step]
+    total = sum(map(len, some))
+    if len(some) < 64:
+        piece = max(64, min(2048, total // 64))
+        some = [x[i : i + piece] for x in some for i in range(0, len(x), piece)]
     try:
-        return zstandard.train_dictionary(size, records).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, total // 4)), some).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(some)[:size]
 
 
 class Writer:
-    """Writes an archive.  The first ``hold`` bytes of records wait for the dictionary that is built from them."""
-
-    def __init__(self, out: str, level: int, dictionary_bytes: int, hold: int):
-        self.store, base = fs.FileSystem.from_uri(out)
-        self.store.create_dir(base, recursive=True)
-        self.name = uuid.uuid4().hex
-        self.path = f"{base}/{self.name}"
-        self.level, self.dictionary_bytes, self.hold = level, dictionary_bytes, hold
+    """Writes archives of about ``archive_bytes`` of records each; an archive's records wait for its dictionary."""
+
+    def __init__(self, out: str, level: int, dictionary_bytes: int, archive_bytes: int):
+        self.store, self.base = fs.FileSystem.from_uri(out)
+        self.store.create_dir(self.base, recursive=True)
+        self.level, self.dictionary_bytes, self.archive_bytes = level, dictionary_bytes, archive_bytes
         self.waiting: list[bytes] = []
         self.held = 0
-        self.sink = None
-        self.at: list[int] = []
 
-    def add(self, data: bytes) -> None:
-        if self.sink is not None:
-            return self._put(data)
+    def add(self, data: bytes) -> tuple[str, int] | None:
+        """(name, records) of the archive that this record completes."""
         self.waiting.append(data)
         self.held += len(data)
-        if self.held > self.hold:
-            self._begin()
-
-    def _begin(self) -> None:
-        step = max(1, self.held // (64 * self.dictionary_bytes))
-        words = build_dictionary(self.waiting[::step], self.dictionary_bytes)
-        self.compress = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(words) if words else None).compress
-        self.sink = self.store.open_output_stream(self.path + ".warc.zst", compression=None)  # the default would compress by suffix
-        self.sink.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
-        self.at.append(8 + len(words))
-        for x in self.waiting:
-            self._put(x)
-        self.waiting = []
-
-    def _put(self, data: bytes) -> None:
-        data = self.compress(data)
-        self.sink.write(data)
-        self.at.append(self.at[-1] + len(data))
-
-    def close(self) -> tuple[str, int]:
-        if self.sink is None:
-            self._begin()
-        self.sink.close()
-        with self.store.open_output_stream(self.path + ".idx") as index:
-            index.write(np.array(self.at, "<u8").tobytes())
-        return self.name, len(self.at) - 1
+        return self.close() if self.held >= self.archive_bytes else None
+
+    def close(self) -> tuple[str, int] | None:
+        if not self.waiting:
+            return None
+        name, n = uuid.uuid4().hex, len(self.waiting)
+        words = build_dictionary(self.waiting, self.dictionary_bytes)
+        compress = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(words)).compress
+        at = [8 + len(words)]
+        with self.store.open_output_stream(f"{self.base}/{name}.warc.zst", compression=None) as sink:  # the default would compress by suffix
+            sink.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
+            for x in self.waiting:
+                data = compress(x)
+                sink.write(data)
+                at.append(at[-1] + len(data))
+        with self.store.open_output_stream(f"{self.base}/{name}.idx") as index:
+            index.write(np.array(at, "<u8").tobytes())
+        self.waiting, self.held = [], 0
+        return name, n
 
 
 def read_archive(uri: str):
@@ -129,59 +125,85 @@ def read_archive(uri: str):
         if magic != SKIPPABLE:
             raise ValueError("no leading skippable frame")
         words = archive.read(size)
-        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None).decompress
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress
         for n in np.diff(at).tolist():
             yield expand(archive.read(n))
 
 
-def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, level: int = 3, dictionary_bytes: int = 16 << 10, hold: int = 4 << 20) -> list[str]:
-    """Write a record for each row; return the archives' addresses.
+def _answered(rows: DataFrame, first: DataFrame, few: int) -> DataFrame:
+    """``rows`` with the column ``first`` of their digest, null where it occurs once.
+
+    Up to ``few`` repeated digests are broadcast, so that no payload moves.  Beyond, those that hold over a 10,000th of
+    all rows each (so 10,000 at most) are, and the rest is joined by digest.
+    """
+    first = cut(first)
+    narrow = first.select(F.col("digest").alias("d"), "first", "n")
+    if first.count() <= few:
+        return rows.join(F.broadcast(narrow), F.col("digest") == F.col("d"), "left")
+    total = rows.count()
+    hot, rest = narrow.where(F.col("n") * 10_000 > total), narrow.where(F.col("n") * 10_000 <= total)
+    known = rows.join(F.broadcast(hot), F.col("digest") == F.col("d"), "left")
+    others = known.where("d is null").drop("d", "first", "n").join(rest, F.col("digest") == F.col("d"), "left")
+    return known.where("d is not null").unionByName(others)
+
+
+def write_archives(
+    pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, level: int = 3, dictionary_bytes: int = 16 << 10,
+    archive_bytes: int = 32 << 20, few: int = 200_000,
+) -> DataFrame:
+    """Write a record for each row; return the manifest (uri, n), which is also a table under ``out``.
 
     The payload is the html in UTF-8; null counts as empty.  Of records with equal payloads of at least ``least``
     bytes that with the smallest id is the response and the others revisit it.  Rows that repeat the smallest id are
     responses as well, rows without an id are revisits if another of their payload has one.  Other columns are ignored.
+    A task holds ``archive_bytes`` of records at a time and one record more.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    known = rows.join(first, F.col("digest") == F.col("d"), "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = _answered(rows, first, few).select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches):
         writer = None
+        row = lambda done: pa.RecordBatch.from_pydict({"uri": [f"{out}/{done[0]}"], "n": pa.array([done[1]], pa.int64())})
         for batch in batches:
-            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                writer = writer or Writer(out, level, dictionary_bytes, hold)
-                writer.add(record(*x))
-        if writer:
-            name, n = writer.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+            writer = writer or Writer(out, level, dictionary_bytes, archive_bytes)
+            for k in range(batch.num_rows):
+                if done := writer.add(record(*(c[k].as_py() for c in batch.columns))):
+                    yield row(done)
+        if writer and (done := writer.close()):
+            yield row(done)
 
-    return [f"{out}/{r['name']}" for r in known.mapInArrow(write, "name string, n long").collect()]
+    known.mapInArrow(write, "uri string, n long").write.parquet(f"{out}/manifest")
+    return spark.read.parquet(f"{out}/manifest")
 
 
-def read_archives(spark, archives: list[str]) -> DataFrame:
+def read_archives(manifest: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: one row for each record of the archives."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if not archives:
-        return spark.createDataFrame([], schema)
 
     def read(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                rows = [(x[0], *x[2:6]) for x in map(parse, read_archive(uri))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                rows = []
+                for x in map(parse, read_archive(uri)):
+                    rows.append((x[0], *x[2:6]))
+                    if len(rows) == 10_000:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
 
-    table = spark.createDataFrame([(x,) for x in archives], "uri string")
-    return table.repartition(max(1, min(len(archives), 4 * shuffle_partitions(spark)))).mapInArrow(read, schema)
+    spark = manifest.sparkSession
+    return manifest.select("uri").repartition(max(1, 4 * shuffle_partitions(spark))).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, out: str | None = None, **options) -> DataFrame:
     """Write archives under ``out`` (default: a new shared folder) and read them back."""
-    spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, out or shared_dir(spark), **options))
+    return read_archives(write_archives(pages, out or shared_dir(pages.sparkSession), **options))
 
 
 ORACLE = """
