@@ -93,35 +93,40 @@ def city_score(a, b) -> float:
     return best
 
 
-def _one_code(a: str, b: str) -> float:
-    if len(a) == 4:
-        a = "0" + a
-    if a == b:
-        return 1.0
-    x, y = a[:2], b[:2]
-    if y in ("91", "92", "93", "94", "99") and b[2:5] == "352":
-        return ROOT if x in ("91", "92", "93", "94") or a[2:5] == "352" else LEAST_CODE
-    if {x, y} == {"98", "99"}:
-        return BLIND
-    if x == y:
-        return BLIND if x == "99" else ROOT
-    return LEAST_CODE
+#: Old departments whose codes were dealt anew, and the middle of the codes that were.
+_DEALT, _MOVED, _OVERSEAS, _ABROAD = ("91", "92", "93", "94"), "352", "98", "99"
 
 
 def code_score(a, b) -> float:
-    return max((_one_code(x, y) for x in _many(a) for y in _many(b)), default=LEAST_CODE)
+    """Best similarity of the requested and recorded commune codes.
+
+    Equal 1; else by the first rule that applies: a recorded code that was dealt anew, overseas against abroad, the same
+    department, any other.
+    """
+
+    def one(x: str, y: str) -> float:
+        x = x.zfill(5) if len(x) == 4 else x
+        here, there = x[:2], y[:2]
+        rules = (
+            (x == y, 1.0),
+            (there in (*_DEALT, _ABROAD) and y[2:5] == _MOVED, ROOT if here in _DEALT or x[2:5] == _MOVED else LEAST_CODE),
+            ({here, there} == {_OVERSEAS, _ABROAD}, BLIND),
+            (here == there, BLIND if here == _ABROAD else ROOT),
+        )
+        return next((value for applies, value in rules if applies), LEAST_CODE)
+
+    return max((one(x, y) for x in _many(a) for y in _many(b)), default=LEAST_CODE)
 
 
 def code_score_column(a: Column, b: Column) -> Column:
     """:func:`code_score` of two single codes, as an expression."""
-    a = F.when(F.length(a) == 4, F.concat(F.lit("0"), a)).otherwise(a)
-    x, y, tail = F.substring(a, 1, 2), F.substring(b, 1, 2), F.substring(b, 3, 3)
-    moved = y.isin("91", "92", "93", "94", "99") & (tail == "352")
+    a = F.when(F.length(a) == 4, F.lpad(a, 5, "0")).otherwise(a)
+    here, there, tail = F.substring(a, 1, 2), F.substring(b, 1, 2), F.substring(b, 3, 3)
     return (
         F.when(a == b, 1.0)
-        .when(moved, F.when(x.isin("91", "92", "93", "94") | (F.substring(a, 3, 3) == "352"), ROOT).otherwise(LEAST_CODE))
-        .when(((x == "98") & (y == "99")) | ((x == "99") & (y == "98")), BLIND)
-        .when(x == y, F.when(x == "99", BLIND).otherwise(ROOT))
+        .when(there.isin(*_DEALT, _ABROAD) & (tail == _MOVED), F.when(here.isin(*_DEALT) | (F.substring(a, 3, 3) == _MOVED), ROOT).otherwise(LEAST_CODE))
+        .when(F.array_sort(F.array(here, there)) == F.array(F.lit(_OVERSEAS), F.lit(_ABROAD)), BLIND)
+        .when(here == there, F.when(here == _ABROAD, BLIND).otherwise(ROOT))
         .otherwise(LEAST_CODE)
     )
 
@@ -132,14 +137,14 @@ def department(text) -> str:
 
 def department_score(a, b, same_city: bool | None) -> float | None:
     """None if either is no department.  ``same_city`` tells whether city or code agree, None if that is unknown."""
-    a, b = department(a), department(b)
-    if not a or not b:
+    pair = [department(x) for x in (a, b)]
+    if not all(pair):
         return None
-    if a == b:
+    if pair[0] == pair[1]:
         return 1.0
-    if (a in SUBURBS and b in CAPITAL) or (b in SUBURBS and a in CAPITAL):
-        return 1.0 if same_city else UNKNOWN_CITY if same_city is None else LEAST_DEPARTMENT
-    return UNKNOWN_CITY if a == "97" else LEAST_DEPARTMENT
+    if any(x in SUBURBS and y in CAPITAL for x, y in (pair, pair[::-1])):  # a suburb may have been of the capital
+        return {True: 1.0, None: UNKNOWN_CITY, False: LEAST_DEPARTMENT}[same_city]
+    return UNKNOWN_CITY if pair[0] == "97" else LEAST_DEPARTMENT
 
 
 def country_name(text: str | None) -> str:
@@ -147,12 +152,20 @@ def country_name(text: str | None) -> str:
 
 
 def country_score(a, b) -> float:
-    wanted, recorded = [country_name(x) for x in _many(a)], _many(b)
-    names = [country_name(x) for x in recorded]
-    best = max((_fuzzy(x, y, token_set_ratio) for x in wanted for y in names), default=0.0)
-    if len(recorded) > 1 or len(wanted) > 1:
-        best = max(best, token_set_ratio(" ".join(wanted), " ".join(names)))
-    return best
+    """Best similarity of the requested and recorded countries, one by one and each with all recorded ones joined.
+
+    Several recorded names are joined as they are for one requested country, in normal form for a list of them; a list
+    is also compared as a whole.
+    """
+    asked, recorded = _many(a), _many(b)
+    wanted, names = [country_name(x) for x in asked], [country_name(x) for x in recorded]
+    scores = [_fuzzy(x, y, token_set_ratio) for x in wanted for y in names]
+    if isinstance(b, list):
+        joined = " ".join(names if isinstance(a, list) else recorded)
+        scores += [token_set_ratio(x, joined) for x in wanted]
+    if isinstance(a, list):
+        scores.append(token_set_ratio(" ".join(asked), " ".join(names)))
+    return max(scores, default=0.0)
 
 
 def distance_km(lat_a: float, lon_a: float, lat_b: float, lon_b: float) -> float:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blend import PERFECT, PRUNE, Params, compare, person_from_request
+from ..functions import dates, names
+from ..functions.blend import MULTI_ERROR, PERFECT, PRUNE, Params, compare, person_from_request
 from ..functions.names import WRONG_LAST
-from ..functions.text import round2
+from ..functions.places import BLIND as BLIND_PLACE
+from ..functions.text import normalized, round2
 
 #: Fixed values of the candidate-set penalties.
 FLOOR, PERFECT_PENALTY, BEST_PENALTY, SECOND_POWER, SECOND_LEAST = 0.5, 0.1, 0.15, 2, 0.4
@@ -32,29 +35,85 @@ def _person(text: str) -> dict:
 def pair_scores(params: Params = Params(), communes: dict | None = None):
     """An Arrow-batched function of (request, person), both JSON of the nested shape, that gives the SCORES columns.
 
-    Equal pairs of a batch are compared once.
+    Equal pairs of a batch are compared once, pairs with a null not at all.  A pair whose values cannot be compared (a
+    number where a text should be) has a null score and says why in ``explain``.
     """
 
     @F.pandas_udf(SCORES)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         known: dict = {}
-        rows = []
-        for x, y in zip(a, b, strict=True):
+        rows: list = [(None,) * len(SCORES.split(", "))] * len(a)
+        for at, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x is None or y is None:
+                continue
             if (x, y) not in known:
                 try:
                     s = compare(_person(x), _person(y), params, communes)
-                except (TypeError, ValueError, KeyError, AttributeError):
+                except (TypeError, ValueError) as error:
                     s = {}
+                    known[x, y] = (None,) * 9 + (0, f"failed: {error}")
+                    rows[at] = known[x, y]
+                    continue
                 name = s.get("name")
                 first, last = (name.get("first"), name.get("last")) if isinstance(name, dict) else (None, None)
                 n = sum(k in s for k in _PARTS)
                 known[x, y] = (s.get("score"), s.get("birthDate"), s.get("deathDate"), s.get("sex"), _number(name), first, last, _number(s.get("birthLocation")), _number(s.get("deathLocation")), n, json.dumps(s) if params.explain else None)
-            rows.append(known[x, y])
+            rows[at] = known[x, y]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
 
     return run
 
 
+def blended(*parts: Column) -> Column:
+    """The blend of part scores; null ones are left out."""
+    each = F.filter(F.array(*(round2(x) for x in parts)), F.isnotnull)
+    good = lambda x: F.size(F.filter(x, lambda v: v >= PERFECT)) / F.size(x)
+    product = lambda x: F.aggregate(x, F.lit(1.0), lambda acc, v: acc * v)
+    return F.element_at(F.transform(F.array(each), lambda x: F.when(F.size(x) > 0, round2(F.pow(product(x), MULTI_ERROR * (2 - good(x))))).otherwise(0.0)), 1)
+
+
+#: Names and dates whose comparison the expressions cover: Latin letters, one word; a day.
+_LATIN, _DAY = r"^[\x20-\x7E\u00C0-\u00FF]*$", "^[0-9]{8}$"
+
+
+def plain(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """``rows`` with the column ``plain``: whether :func:`with_plain_scores` covers the pair; and the forms it compares.
+
+    Rows have first_q, last_q, sex_q, birth_q, and of the person first, second_name, last, sex, birth_date.
+    """
+    one = lambda c: (F.col(c) != "") & ~F.col(c).contains(" ") & ~F.col(c).isin(*names.UNKNOWN)
+    day = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^$|" + _DAY)
+    given = ["first", *(c for c in ("second_name",) if c in rows.columns)]
+    tokens = F.filter(F.split(F.concat_ws(" ", *(normalized(F.col(c)) for c in given)), " "), lambda t: t != "")
+    rows = rows.withColumns({"_fq": normalized(F.col("first_q")), "_lq": normalized(F.col("last_q")), "_lp": normalized(F.col("last")), "_fp": tokens})
+    latin = [F.coalesce(F.col(c), F.lit("")).rlike(_LATIN) for c in ("first_q", "last_q", "last", *given)]
+    known = [one(c) for c in ("_fq", "_lq", "_lp")] + [F.size("_fp") > 0, F.col("first").isNotNull(), ~F.arrays_overlap("_fp", F.array(*map(F.lit, names.UNKNOWN)))]
+    tests = [*known, *latin, day("birth_q"), day("birth_date"), F.coalesce(F.col("sex_q"), F.lit("")) != "", F.lit(not (params.date_format_a or params.date_format_b or params.explain))]
+    return rows.withColumn("plain", F.coalesce(reduce(and_, tests), F.lit(False)))
+
+
+def with_plain_scores(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """The SCORES columns, by the names ``_score``, ``_birthDate`` ..., of rows from :func:`plain`, as expressions.
+
+    A request without a place leaves the place open, whatever the person's.  Each part is scored only while the blend of
+    those before it is above ``params.prune``.
+    """
+    c = F.col
+    alive = lambda *parts: blended(*(c(p) for p in parts)) > params.prune
+    asked = F.coalesce(F.length("birth_q"), F.lit(0)) > 0
+    rows = rows.withColumn("_birthDate", F.when(asked, dates.score_column(c("birth_q"), c("birth_date"))))
+    rows = rows.withColumn("_go", alive("_birthDate") | c("_birthDate").isNull() | (c("_birthDate") == 0))
+    rows = rows.withColumn("_n", F.when(c("_go"), names.score_column(c("_fq"), c("_lq"), c("_fp"), c("_lp"), c("sex"))))
+    rows = rows.withColumns({"_name": c("_n.score"), "_name_first": c("_n.first"), "_name_last": c("_n.last")})
+    rows = rows.withColumn("_go", c("_go") & alive("_birthDate", "_name"))
+    rows = rows.withColumn("_sex", F.when(c("_go"), names.sex_column(c("sex_q"), c("sex"))))
+    rows = rows.withColumn("_go", c("_go") & alive("_birthDate", "_name", "_sex"))
+    rows = rows.withColumn("_birthLocation", F.when(c("_go"), F.lit(BLIND_PLACE)))
+    parts = ("_birthDate", "_name", "_sex", "_birthLocation")
+    rows = rows.withColumn("_score", blended(*(c(p) for p in parts)))
+    return rows.withColumn("_n_parts", sum((c(p).isNotNull().cast("int") for p in parts), F.lit(0)))
+
+
 def request_weight(item: dict) -> int:
     """How many of name, birth date and birth place a request has."""
     place = ("birthCity", "birthLocationCode", "birthCountry", "birthDepartment", "birthGeoPoint")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, names, places, text
 from ..functions.blend import Params
 from ..operators import aggregate, link, score, search
-from ..operators.requests import Block, parse
+from ..operators.requests import parse
 from ..sources import bulk, reference
 from .persons import PERSONS_SQL, nested, persons, requests
 
@@ -172,14 +172,6 @@ def search_many(spark, sf_dir):
     return search.search_many(persons(spark, sf_dir), asked).select("qid", *_SHOWN)
 
 
-@query()
-def search_scored(spark, sf_dir):
-    people = persons(spark, sf_dir)
-    item = {"firstName": "red", "lastName": "bolt", "birthDate": "19970311"}
-    r = parse(item | {"birthDate": "11/03/1997", "block": {"scope": ["name", "birthDate"]}})
-    return score.score_hits(search.page(search.search(people, r), r), item, nested()).select(*_SHOWN, "final")
-
-
 @query(_select("uid = 1000"))
 def lookup_id(spark, sf_dir):
     return search.lookup(persons(spark, sf_dir), 1000).select(*_SHOWN)
@@ -343,13 +335,48 @@ def _alike_sql(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {s} = 0 THEN 0.0::DOUBLE ELSE round(pow({s}, 1.5), 2) END)"
 
 
-_SF, _SL = _alike_sql("first_q", "first"), _alike_sql("last_q", "last")
 
 
-@query(f", {_PAIRS} SELECT qid, uid, round(greatest({_SF} * pow({_SL}, 1.5), {_SF} * CASE WHEN sex = 'F' THEN 0.65 ELSE 0.1 END), 2) AS score FROM pairs")
-def score_name_simple(spark, sf_dir):
-    c = F.col
-    return _pairs(spark, sf_dir).select("qid", "uid", names.score_column(c("first_q"), c("last_q"), c("first"), c("last"), c("sex"), phonetic=False).alias("score"))
+def _soundex_sql(word: str) -> str:
+    """The French Soundex of lower-case letters; runs of a class are shortened class by class."""
+    codes = f"translate({word}, '{text._LETTERS}', '{text._CLASSES}')"
+    for k in range(10):
+        codes = f"regexp_replace({codes}, '{k}+', '{k}', 'g')"
+    return f"left(left({word}, 1) || replace(substring({codes}, 2), '0', '') || '000', 4)"
+
+
+def _exact_r2(x: str) -> str:
+    """Two decimals of the exact binary value, halves up."""
+    return f"(CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN floor(({x}) * 100 + 0.5) / 100 ELSE printf('%.2f', ({x})::DOUBLE)::DOUBLE END)"
+
+
+def _likeness_sql(requests: str = "requests") -> str:
+    """Likeness of each word that requests have and each that persons have, and of the first names asked to all given ones."""
+    return f"""asked_words AS (SELECT DISTINCT unnest([first_q, last_q]) AS a FROM {requests}),
+  given AS (SELECT DISTINCT first, second_name, list_concat([first], list_filter(string_split(trim(regexp_replace(second_name, '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')) AS tokens FROM persons),
+  known_words AS (SELECT unnest(tokens) AS b FROM given UNION SELECT last FROM persons),
+  ratios AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE {_exact_r2('1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE')} END AS s FROM asked_words, known_words),
+  alike AS (SELECT a, b, CASE WHEN s IN (0, 1) THEN s ELSE {_exact_r2(f"pow(s, CASE WHEN {_soundex_sql('a')} = {_soundex_sql('b')} THEN 1 / 1.5::DOUBLE ELSE 1.5::DOUBLE END)")} END AS s FROM ratios),
+  placed AS (SELECT first, second_name, unnest(tokens) AS b, generate_subscripts(tokens, 1) AS k FROM given),
+  lines AS (SELECT a, first, second_name, list(s ORDER BY k) AS line FROM placed JOIN alike USING (b) GROUP BY ALL),
+  firsts AS (SELECT a, first, second_name, {_exact_r2("greatest(line[1], CASE WHEN len(line) > 1 THEN list_reduce(list_concat([0.7::DOUBLE], line[2:]), lambda x, y: x * y) ELSE 0 END)")} AS sf FROM lines)"""
+
+
+def _named_sql(pairs: str) -> str:
+    """``pairs`` (with first_q, last_q and a person's columns) with sf, sl and the name score ``name``."""
+    total = _exact_r2("sf * greatest(pow(sl, 1.5), CASE WHEN sex = 'F' THEN 0.65::DOUBLE ELSE 0.1::DOUBLE END)")
+    turned = "CASE WHEN there >= 0.5 THEN greatest(0.1, 0.7::DOUBLE * pow(there, 1.5) * pow(back, 1.5)) ELSE 0 END"
+    return f"""joined AS (SELECT p.*, f.sf, l.s AS sl, t.s AS there, k.s AS back FROM {pairs} p
+      JOIN firsts f ON f.a = p.first_q AND f.first = p.first AND f.second_name = p.second_name JOIN alike l ON l.a = p.last_q AND l.b = p.last
+      JOIN alike t ON t.a = p.first_q AND t.b = p.last JOIN alike k ON k.a = p.last_q AND k.b = p.first),
+    totals AS (SELECT *, {total} AS total FROM joined),
+    named AS (SELECT *, CASE WHEN total < 0.5 THEN greatest(total, {turned}) ELSE total END AS name FROM totals)"""
+
+
+@query(f", {_PAIRS}, {_likeness_sql()}, {_named_sql('pairs')} SELECT qid, uid, round(sf, 2) AS first, round(sl, 2) AS last, round(name, 6) AS score FROM named")
+def score_name(spark, sf_dir):
+    rows = score.plain(_pairs(spark, sf_dir)).withColumn("n", names.score_column(F.col("_fq"), F.col("_lq"), F.col("_fp"), F.col("_lp"), F.col("sex")))
+    return rows.select("qid", "uid", F.round("n.first", 2).alias("first"), F.round("n.last", 2).alias("last"), F.round("n.score", 6).alias("score"))
 
 
 @query(
@@ -362,7 +389,7 @@ def score_reduce(spark, sf_dir):
     return _pairs(spark, sf_dir).select("qid", "uid", text.round2(F.pow(a * b, 0.8 * (2 - good / 2))).alias("score"))
 
 
-@query()
+@query(f"SELECT last, {_soundex_sql('last')} AS code FROM (SELECT last FROM persons UNION SELECT first FROM persons)")
 def soundex_french(spark, sf_dir):
     people = persons(spark, sf_dir)
     return people.select("last").union(people.select("first")).distinct().select("last", text.soundex_fr_column(F.col("last")).alias("code"))
@@ -430,15 +457,79 @@ def link_unmatched_kept(spark, sf_dir):
     return asked.join(counted, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+def _blend_sql(*parts: str) -> str:
+    """The blend of part scores; null ones are left out."""
+    each = [_exact_r2(p) for p in parts]
+    n = " + ".join(f"({p} IS NOT NULL)::INT" for p in parts)
+    good = " + ".join(f"coalesce(({x} >= 0.75)::INT, 0)" for x in each)
+    product = " * ".join(f"coalesce({x}, 1)" for x in each)
+    return f"(CASE WHEN {n} = 0 THEN 0 ELSE {_exact_r2(f'pow({product}, 0.8::DOUBLE * (2 - ({good}) / ({n})::DOUBLE))')} END)"
+
+
+_DAYS = "(make_date(left({x}, 4)::BIGINT, 1, 1) + to_months(substring({x}, 5, 2)::INT - 1))::DATE + (right({x}, 2)::INT - 1)"
+_BIRTH = f"""0.01::DOUBLE * floor(pow(CASE WHEN birth_q = birth_date THEN 1.0::DOUBLE
+    WHEN birth_date LIKE '%0101' OR birth_q LIKE '%0101' THEN {_exact_r2('0.9025::DOUBLE * pow(y, 2)')}
+    ELSE greatest(e, CASE WHEN left(birth_q, 6) = left(birth_date, 6) THEN 0.9 ELSE 0 END, {_exact_r2('1 - pow(pow(apart * 86400000.0::DOUBLE / 31536000000.0::DOUBLE, 2), 0.2)')}) END, 2.5) * 100 + 0.5)"""
+
+
+def _scored_sql(named: str, sexed: str, asked_sex: bool = True) -> str:
+    """From ``named``: the part scores, each only while those before it are good enough, and their blend.
+
+    Without ``asked_sex`` the request has no sex; ``sexed`` then counts whatever the parts before it.
+    """
+    going = "name IS NOT NULL" + (f""" AND {_blend_sql('"birthDate"', 'name')} > 0.3""" if asked_sex else "")
+    return f"""dated AS (SELECT *, (CASE WHEN left(birth_q, 4) = left(birth_date, 4) THEN 1.0 ELSE {_exact_r2(f"1 - {_short_sql('left(birth_q, 4)', 'left(birth_date, 4)', 4)} / 4.0::DOUBLE")} END) AS y,
+      {_exact_r2(f"1 - {_short_sql('birth_q', 'birth_date', 8)} / 8.0::DOUBLE")} AS e, ({_DAYS.format(x='birth_q')}) - ({_DAYS.format(x='birth_date')}) AS apart FROM {named}),
+    born AS (SELECT * EXCLUDE (name), name AS full_name, {_BIRTH} AS "birthDate" FROM dated),
+    go1 AS (SELECT *, CASE WHEN {_blend_sql('"birthDate"')} > 0.3 OR "birthDate" = 0 THEN full_name END AS name FROM born),
+    go2 AS (SELECT *, CASE WHEN {going if asked_sex else 'true'} THEN {sexed} END AS s, {going} AS going FROM go1),
+    go3 AS (SELECT *, CASE WHEN going AND {_blend_sql('"birthDate"', 'name', 's')} > 0.3 THEN 0.75::DOUBLE END AS "birthLocation" FROM go2),
+    blends AS (SELECT *, {_blend_sql('"birthDate"', 'name', 's', '"birthLocation"')} AS blend, ("birthDate" IS NOT NULL)::INT + (name IS NOT NULL)::INT + (s IS NOT NULL)::INT + ("birthLocation" IS NOT NULL)::INT AS n_parts FROM go3),
+    blind AS (SELECT *, {_exact_r2('pow(blend, 2 / (0.5::DOUBLE * (coalesce((name >= 0.75)::INT, 0) + coalesce(("birthLocation" >= 0.75)::INT, 0)) + n_parts + 1))')} AS score FROM blends)"""
+
+
+def _penalties_sql(scored: str, candidates: int, boosts: str) -> str:
+    """The candidate-set penalties over the rows of each qid, as column ``final``."""
+    factor = "greatest(0.5, 1 - (CASE WHEN n_perfect > 0 THEN 0.1::DOUBLE ELSE 0.15::DOUBLE END) * (lead - 1 + (n - lead) / " + f"{candidates}::DOUBLE))"
+    power = "CASE WHEN held = top THEN 1 ELSE 2 + CASE WHEN held >= 0.75 THEN 1 ELSE n - lead END END"
+    return f"""ranked AS (SELECT *, {boosts} AS rank FROM {scored}),
+    all_of AS (SELECT *, max(score) OVER q AS top, sum((score >= 0.75)::INT) OVER q AS n_perfect, max((sex = 'F' AND coalesce(name > 0.65, false))::INT) OVER q AS female FROM ranked WINDOW q AS (PARTITION BY qid)),
+    kept AS (SELECT * FROM all_of WHERE score >= 0.3),
+    counted AS (SELECT *, sum((score = top)::INT) OVER q AS n_best, sum((sex = 'M' OR female = 0 OR coalesce(name > 0.65, false))::INT) OVER q AS n FROM kept WINDOW q AS (PARTITION BY qid)),
+    leads AS (SELECT *, CASE WHEN female = 1 AND n > 0 AND coalesce(name <= 0.65, false) THEN 0.0 ELSE score END AS held, CASE WHEN n_perfect > 0 THEN n_perfect ELSE n_best END AS lead FROM counted),
+    priced AS (SELECT *, CASE WHEN held > 0 AND n > 1 THEN {_exact_r2(f'{factor} * pow(held, {power})')} ELSE held END AS after FROM leads),
+    finals AS (SELECT *, CASE WHEN after < top AND after < 0.4 THEN 0.0 ELSE after END AS final FROM priced)"""
+
+
+_LINKED = f""", pairs AS (SELECT r.*, p.uid, p.first, p.last, p.second_name, p.sex, p.birth_date FROM requests r JOIN persons p ON {_ADMITTED}), {_likeness_sql()}, {_named_sql('pairs')},
+  {_scored_sql('named', 'CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END')}, {_penalties_sql('blind', 2, '1 + 2 * (last_q = last)::INT + (first_q = first)::INT + (birth_q = birth_date)::INT')},
+  best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rank DESC, uid) AS place FROM finals WHERE final >= 0.3)
+  SELECT r.qid, r.first_q, r.last_q, r.sex_q, r.birth_q, uid, score, "birthDate", s AS sex, round(name, 6) AS name, CASE WHEN name IS NOT NULL THEN sf END AS name_first, CASE WHEN name IS NOT NULL THEN sl END AS name_last, "birthLocation", n_parts, final, place
+  FROM requests r LEFT JOIN (SELECT * FROM best WHERE place <= 2) b ON b.qid = r.qid"""
+
+
+@query(_LINKED)
 def bulk_linkage(spark, sf_dir):
     people = persons(spark, sf_dir)
-    return link.link(requests(people), people, nested(), Params(candidates=2))
+    rows = link.link(requests(people), people, nested(), Params(candidates=2))
+    return rows.withColumn("name", F.round("name", 6)).drop("deathDate", "deathLocation", "explain")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bulk_linkage(spark, sf_dir)
+_ASKED = f"""asked AS (SELECT 0 AS qid, 'red' AS first_q, 'bolt' AS last_q, '19970311' AS birth_q),
+  hits AS (SELECT a.*, p.* FROM asked a, persons p WHERE ({_FULL}) AND (damerau_levenshtein(birth_date, '19970311') <= 1 OR birth_date LIKE '1997%') AND (last = 'bolt' OR birth_date = '19970311'))"""
+_MISMATCH = "CASE WHEN regexp_matches(replace(first_q, first, ''), '^.?(e|a)$') OR regexp_matches(replace(first, first_q, ''), '^.?(e|a)$') THEN 0.65::DOUBLE END"
 
 
-#: Blocks that bulk linkage uses where a request has no first or last name.
-DEFAULT_BLOCK = Block()
+@query(
+    f""", {_ASKED}, {_likeness_sql('asked')}, {_named_sql('hits')}, {_scored_sql('named', _MISMATCH, False)}, {_penalties_sql('blind', 1, '1')}
+    SELECT uid, first, last, sex, birth_date, birth_country, CASE WHEN coalesce(final, 0) >= 0.3 THEN final ELSE 0 END AS final FROM hits LEFT JOIN (SELECT uid, final FROM finals) USING (uid)"""
+)
+def search_scored(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    item = {"firstName": "red", "lastName": "bolt", "birthDate": "19970311"}
+    r = parse(item | {"birthDate": "11/03/1997", "block": {"scope": ["name", "birthDate"]}})
+    return score.score_hits(search.search(people, r), item, nested()).select(*_SHOWN, "final")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bulk_linkage(spark, sf_dir)
