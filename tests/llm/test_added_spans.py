@@ -39,7 +39,7 @@ def test_traits_move_the_score():
 
 
 def test_long_values_take_linear_time(table):
-    long = ["a@" + "x" * 400_000 + ".com", "a@" + "x." * 200_000 + "com", "y" * 400_000 + "@b.com", "+" + "1 (" * 130_000 + "2", "1." * 200_000, "1 " * 200_000, "1-" * 200_000, ":a" * 200_000, "(" * 400_000, "[at]" * 100_000]
+    long = ["a@" + "x" * 100_000 + ".com", "a@" + "x." * 50_000 + "com", "y" * 100_000 + "@b.com", "+" + "1 (" * 30_000 + "2", "1." * 50_000, "1 " * 50_000, "1-" * 50_000, ":a" * 50_000, "(" * 100_000, "[at]" * 25_000]
     docs = table([(k, t, "en", "a") for k, t in enumerate(long)])
     pii.digest(pii.find(table([(0, "a@b.com", "en", "a")]))).collect()
     began = time.time()

@@ -25,7 +25,7 @@ def test_a_long_repeat_is_costed_whole(piece):
     value = piece * 400
     cost, parts = secret_scan.guess_cost(value)
     assert cost < 14 and len(parts) <= 3
-    assert secret_scan.spans(f"password is {value}") == []
+    assert "guess" not in [k for k, _, _ in secret_scan.spans(f"password is {value}")]
 
 
 def every_cut(value):
