@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import rewrite, split
-from .text import normalize, ratio, round2, to_fixed, token_set_ratio
+from .text import normalize, normalized, ratio, round2, to_fixed, token_set_ratio
 
 #: Fixed values of the place score.
 LEAST, BOROUGH, LEAST_CODE, LEAST_DEPARTMENT, LEAST_CITY_ABROAD = 0.2, 0.9, 0.7, 0.7, 0.65
@@ -147,6 +147,21 @@ def department_score(a, b, same_city: bool | None) -> float | None:
     return UNKNOWN_CITY if pair[0] == "97" else LEAST_DEPARTMENT
 
 
+def department_score_column(a: Column, b: Column, same_city: Column) -> Column:
+    """:func:`department_score` as an expression; null where either is no department."""
+
+    def number(x: Column) -> Column:
+        out = normalized(x)
+        for pattern, by in DEPARTMENT:
+            out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
+        return out
+
+    a, b = number(a), number(b)
+    near = (a.isin(*SUBURBS) & b.isin(*CAPITAL)) | (b.isin(*SUBURBS) & a.isin(*CAPITAL))
+    by_city = F.when(same_city.isNull(), UNKNOWN_CITY).when(same_city, 1.0).otherwise(LEAST_DEPARTMENT)
+    return F.when((a != "") & (b != ""), F.when(a == b, 1.0).when(near, by_city).when(a == "97", UNKNOWN_CITY).otherwise(LEAST_DEPARTMENT))
+
+
 def country_name(text: str | None) -> str:
     return _rules(text, COUNTRY)
 

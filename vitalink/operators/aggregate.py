@@ -73,3 +73,16 @@ def aggregate(people: DataFrame, request: SearchRequest, after: list | None = No
     if len(columns) == 1 and request.aggs[0] in TERMS:
         return terms(rows, columns[0], request.aggs_size)
     return composite(rows, columns, after)
+
+
+def all_groups(people: DataFrame, request: SearchRequest) -> DataFrame:
+    """Every group of an aggregation, beyond any page: what its CSV and JSON sinks write."""
+    rows = search(people, request)
+    columns = [SORT_COLUMNS[x] for x in request.aggs]
+    return months(rows, columns[0]) if len(columns) == 1 and request.aggs[0] in DATES else composite(rows, columns)
+
+
+def summary(people: DataFrame, request: SearchRequest) -> DataFrame:
+    """One row: the total of hits of a request, and the number of buckets of its aggregation, whatever its page."""
+    total = search(people, request).agg(F.count(F.lit(1)).alias("total"))
+    return total.crossJoin(all_groups(people, request).agg(F.count(F.lit(1)).alias("buckets")))  # of one row each

@@ -515,6 +515,79 @@ def bulk_linkage(spark, sf_dir):
     return rows.withColumn("name", F.round("name", 6)).drop("deathDate", "deathLocation", "explain")
 
 
+@query("SELECT count(*) AS total, (SELECT count(*) FROM (SELECT DISTINCT sex, birth_country FROM persons WHERE birth_date LIKE '1997%')) AS buckets FROM persons WHERE birth_date LIKE '1997%'")
+def agg_summary(spark, sf_dir):
+    return aggregate.summary(persons(spark, sf_dir), parse({"birthDate": "1997", "aggs": '["sex", "birthCountry"]'}, aggregation=True))
+
+
+@query("SELECT concat_ws(',', birth_country, death_age, count(*)) AS line FROM persons GROUP BY birth_country, death_age")
+def agg_export(spark, sf_dir):
+    rows = aggregate.all_groups(persons(spark, sf_dir), parse({"aggs": '["birthCountry", "deathAge"]'}, aggregation=True))
+    return bulk.cells(rows, rows.columns).select(F.concat_ws(",", *rows.columns).alias("line"))
+
+
+@query(
+    """, p AS (SELECT uid, uid % 30 + 70 AS a, uid // 30 % 30 + 70 AS b, CASE uid % 7 WHEN 0 THEN true WHEN 1 THEN false END AS same FROM persons)
+    SELECT uid, CASE WHEN a = 99 OR b = 99 THEN NULL WHEN a = b THEN 1.0::DOUBLE
+      WHEN a IN (75, 78) AND b BETWEEN 91 AND 95 OR b IN (75, 78) AND a BETWEEN 91 AND 95 THEN CASE WHEN same IS NULL THEN 0.93 WHEN same THEN 1.0 ELSE 0.7 END
+      WHEN a = 97 THEN 0.93 ELSE 0.7 END AS score FROM p"""
+)
+def score_department(spark, sf_dir):
+    number = lambda x: F.lpad((x % 30 + 70).cast("string"), 3, "0")
+    same = F.when(F.col("uid") % 7 == 0, True).when(F.col("uid") % 7 == 1, False)
+    return persons(spark, sf_dir).select("uid", places.department_score_column(number(F.col("uid")), number(F.floor(F.col("uid") / 30)), same).alias("score"))
+
+
+_LOG = "log AS (SELECT l_orderkey AS id, l_linenumber AS file, l_shipdate::DATE AS date FROM lineitem WHERE l_orderkey % 9 = 0)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction log over the line items: id, and modifications in order of their file."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 9 = 0")
+    m = F.struct(F.col("l_linenumber").alias("file"), F.date_format(F.to_date("l_shipdate"), "yyyy-MM-dd").alias("date"))
+    return rows.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(m)).alias("modifications"))
+
+
+@query(f", {_LOG} SELECT uid, last, (SELECT count(*) FROM log WHERE id = uid) AS n FROM persons")
+def corrections_join(spark, sf_dir):
+    rows = reference.with_corrections(persons(spark, sf_dir), _log(spark, sf_dir), "uid")
+    return rows.select("uid", "last", F.coalesce(F.size("modifications"), F.lit(0)).alias("n"))
+
+
+@query(f", {_LOG} SELECT uid, first, count(*) AS n FROM persons JOIN log ON id = uid GROUP BY 1, 2")
+def corrected_persons(spark, sf_dir):
+    return reference.corrected_only(persons(spark, sf_dir), _log(spark, sf_dir), "uid").select("uid", "first", F.size("modifications").alias("n"))
+
+
+@query(f", {_LOG} SELECT id::VARCHAR AS id, file, strftime(date, '%Y-%m-%d') AS date FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY date DESC, file DESC) = 1")
+def corrections_latest(spark, sf_dir):
+    return reference.latest(_log(spark, sf_dir)).select("id", "file", "date")
+
+
+@query(
+    """SELECT uid::VARCHAR AS uid, first || ', ' || second_name AS "name.first", last AS "name.last", CASE WHEN uid % 3 = 0 THEN '' ELSE sex END AS sex, birth_date AS "birth.date", '' AS "links.wikidata" FROM persons"""
+)
+def bulk_cells(spark, sf_dir):
+    rows = persons(spark, sf_dir).select("uid", F.struct(F.array("first", "second_name").alias("first"), "last").alias("name"), "sex", F.struct(F.col("birth_date").alias("date")).alias("birth"))
+    return bulk.cells(rows, ["uid", "name.first", "name.last", "sex", "birth.date", "links.wikidata"], F.col("uid") % 3 != 0)
+
+
+@query("""SELECT qid AS "sourceLineNumber", first_q AS "firstName", last_q AS "lastName", first_q || '/' || last_q || '/' || birth_q AS source FROM requests""")
+def bulk_columns(spark, sf_dir):
+    given = requests(persons(spark, sf_dir)).select(F.col("qid").alias("sourceLineNumber"), F.col("first_q").alias("Prenom"), F.col("last_q").alias("Nom"), F.col("birth_q").alias("Date"))
+    rows = bulk.map_columns(given, {"Prenom": "firstName", "Nom": "lastName", "Date": "birthDate"})
+    return rows.select("sourceLineNumber", "firstName", "lastName", F.concat_ws("/", F.col("source")["Prenom"], F.col("source")["Nom"], F.col("source")["Date"]).alias("source"))
+
+
+@query(
+    f""", {_PAIRS}, {_likeness_sql()}, {_named_sql('pairs')}, {_scored_sql('named', 'CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END')}
+    SELECT qid, uid, "birthDate", round(name, 6) AS name, s AS sex, "birthLocation", blend AS score, n_parts FROM blends"""
+)
+def compare_pairs(spark, sf_dir):
+    rows = link.scored_pairs(_pairs(spark, sf_dir), nested())
+    return rows.select("qid", "uid", "birthDate", F.round("name", 6).alias("name"), "sex", "birthLocation", "score", "n_parts")
+
+
 _ASKED = f"""asked AS (SELECT 0 AS qid, 'red' AS first_q, 'bolt' AS last_q, '19970311' AS birth_q),
   hits AS (SELECT a.*, p.* FROM asked a, persons p WHERE ({_FULL}) AND (damerau_levenshtein(birth_date, '19970311') <= 1 OR birth_date LIKE '1997%') AND (last = 'bolt' OR birth_date = '19970311'))"""
 _MISMATCH = "CASE WHEN regexp_matches(replace(first_q, first, ''), '^.?(e|a)$') OR regexp_matches(replace(first, first_q, ''), '^.?(e|a)$') THEN 0.65::DOUBLE END"

@@ -103,18 +103,29 @@ def as_text(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def type_of(schema: T.StructType, path: str) -> T.DataType | None:
+    """The type at a path ``a.b.c`` of nested records; None if the table does not have it."""
+    kind: T.DataType = schema
+    for part in path.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return None
+        kind = kind[part].dataType
+    return kind
+
+
 def cells(rows: DataFrame, names: list[str], matched: Column | None = None) -> DataFrame:
-    """The named columns (nested ones by path) as texts; the result's sex is blank where nothing matched."""
+    """The named columns (nested ones by path) as texts, blank for those that the table does not have.
+
+    The result's sex is blank where nothing matched.
+    """
     out = []
     for name in names:
-        try:
-            column = F.col(f"`{name}`") if name in rows.columns else F.col(name)
-            kind = rows.select(column.alias("x")).schema["x"].dataType
-        except Exception as error:  # a path that this table does not have
-            if "UNRESOLVED" not in str(error) and "FIELD_NOT_FOUND" not in str(error):
-                raise
-            column, kind = F.lit(None).cast("string"), T.StringType()
-        text = as_text(column, kind)
+        if name in rows.columns:
+            text = as_text(F.col(f"`{name}`"), rows.schema[name].dataType)
+        elif (kind := type_of(rows.schema, name)) is not None:
+            text = as_text(F.col(name), kind)
+        else:
+            text = F.lit("")
         if name == "sex" and matched is not None:
             text = F.when(matched, text).otherwise("")
         out.append(text.alias(name))
