@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalink.llm import decontam, mixing, quality, simhash_wide, tokens
-from vitalink.llm.common import shared_dir
+from vitalink.llm.common import drop_dir, shared_dir
 from vitalink.llm.queries import TOKENIZER, table
 
 
@@ -66,10 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet and read again."""
+    """All stages over the documents, each written as Parquet and read again; of the folders the last one's stays."""
     docs = table(spark, sf_dir, "documents")
     base = shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            drop_dir(spark, f"{base}/{k - 1}")
     return docs
