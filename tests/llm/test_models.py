@@ -283,7 +283,7 @@ def test_decontaminate_keeps_clean_rows_and_columns(leaks, none, odd):
     assert decontam.decontaminate(odd, benchmark.where("false")).count() == odd.count()
 
 
-def brute_contaminated(docs, items, few=16, few_items=8, company=4, least=0.5):
+def brute_contaminated(docs, items, few=16, few_items=8, company=3, least=0.5):
     """(doc, item, score) of all pairs, from the stated rules, one pair at a time; scores of whole documents."""
     split = lambda t: [w for w in re.split(r"[^a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) if w]
     grams = lambda w, n: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]

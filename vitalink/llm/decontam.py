@@ -297,7 +297,7 @@ def contaminated(
     item_text_col: str = "text",
     few: int = 16,
     few_items: int = 8,
-    company: int = 4,
+    company: int = 3,
     least: float = 0.5,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
@@ -329,7 +329,7 @@ def contaminated(
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", few: int = 16, few_items: int = 8, company: int = 4, least: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", few: int = 16, few_items: int = 8, company: int = 3, least: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that match no test item (see :func:`contaminated`)."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
