@@ -106,8 +106,9 @@ def estimate(apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near(w: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, tau: int, similar: float) -> np.ndarray:
     """Whether rows a and b are near-copies."""
     d = np.bitwise_count(w[a] ^ w[b]).astype(np.int64)
-    some = np.maximum(n[a], n[b]) > 4  # smaller sets are that similar only if equal
-    return some & (d.min(axis=1) <= tau) & (estimate(d.sum(axis=1), n[a].astype(float), n[b].astype(float)) >= similar)
+    less, more = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    # sets of other sizes, or small ones that differ, are never that similar
+    return (more > 4) & (less >= similar * more) & (d.min(axis=1) <= tau) & (estimate(d.sum(axis=1), n[a].astype(float), n[b].astype(float)) >= similar)
 
 
 # ---------------------------------------------------------------- cells
