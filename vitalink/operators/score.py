@@ -76,20 +76,36 @@ def blended(*parts: Column) -> Column:
 _LATIN, _DAY = r"^[\x20-\x7E\u00C0-\u00FF]*$", "^[0-9]{8}$"
 
 
+_one = lambda w: (w != "") & ~w.contains(" ") & ~w.isin(*names.UNKNOWN)
+_latin = lambda *texts: reduce(and_, [F.coalesce(t, F.lit("")).rlike(_LATIN) for t in texts])
+_day = lambda d: F.coalesce(d, F.lit("")).rlike("^$|" + _DAY)
+
+
+def asked_forms(requests: DataFrame) -> DataFrame:
+    """Requests (first_q, last_q, sex_q, birth_q) with what the expressions compare, and whether these cover them."""
+    first, last = normalized(F.col("first_q")), normalized(F.col("last_q"))
+    covered = _one(first) & _one(last) & _latin(F.col("first_q"), F.col("last_q")) & _day(F.col("birth_q")) & (F.coalesce(F.col("sex_q"), F.lit("")) != "")
+    return requests.withColumns({"_fq": names.form(first), "_lq": names.form(last), "_plain_q": F.coalesce(covered, F.lit(False))})
+
+
+def known_forms(people: DataFrame) -> DataFrame:
+    """Persons (first, second_name, last, birth_date) with what the expressions compare, and whether these cover them."""
+    given = [F.col(c) for c in ("first", "second_name") if c in people.columns]
+    last = normalized(F.col("last"))
+    tokens = F.filter(F.split(F.concat_ws(" ", *map(normalized, given)), " "), lambda t: t != "")
+    known = ~F.arrays_overlap(tokens, F.array(*map(F.lit, names.UNKNOWN))) & (F.size(tokens) > 0) & F.col("first").isNotNull()
+    covered = _one(last) & known & _latin(F.col("last"), *given) & _day(F.col("birth_date"))
+    return people.withColumns({"_lp": names.form(last), "_fp": F.transform(tokens, names.form), "_plain_p": F.coalesce(covered, F.lit(False))})
+
+
 def plain(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """``rows`` with the column ``plain``: whether :func:`with_plain_scores` covers the pair; and the forms it compares.
+    """Pairs with the column ``plain``: whether :func:`with_plain_scores` covers them.
 
-    Rows have first_q, last_q, sex_q, birth_q, and of the person first, second_name, last, sex, birth_date.
+    Rows have the columns of :func:`asked_forms` and :func:`known_forms`; what these add is added where it is missing.
     """
-    one = lambda c: (F.col(c) != "") & ~F.col(c).contains(" ") & ~F.col(c).isin(*names.UNKNOWN)
-    day = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^$|" + _DAY)
-    given = ["first", *(c for c in ("second_name",) if c in rows.columns)]
-    tokens = F.filter(F.split(F.concat_ws(" ", *(normalized(F.col(c)) for c in given)), " "), lambda t: t != "")
-    rows = rows.withColumns({"_fq": normalized(F.col("first_q")), "_lq": normalized(F.col("last_q")), "_lp": normalized(F.col("last")), "_fp": tokens})
-    latin = [F.coalesce(F.col(c), F.lit("")).rlike(_LATIN) for c in ("first_q", "last_q", "last", *given)]
-    known = [one(c) for c in ("_fq", "_lq", "_lp")] + [F.size("_fp") > 0, F.col("first").isNotNull(), ~F.arrays_overlap("_fp", F.array(*map(F.lit, names.UNKNOWN)))]
-    tests = [*known, *latin, day("birth_q"), day("birth_date"), F.coalesce(F.col("sex_q"), F.lit("")) != "", F.lit(not (params.date_format_a or params.date_format_b or params.explain))]
-    return rows.withColumn("plain", F.coalesce(reduce(and_, tests), F.lit(False)))
+    rows = rows if "_plain_q" in rows.columns else asked_forms(rows)
+    rows = rows if "_plain_p" in rows.columns else known_forms(rows)
+    return rows.withColumn("plain", F.col("_plain_q") & F.col("_plain_p") & F.lit(not (params.date_format_a or params.date_format_b or params.explain)))
 
 
 def with_plain_scores(rows: DataFrame, params: Params = Params()) -> DataFrame:
