@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, quality, secret_scan, simhash, substring, tokens, warc
+from . import decontam, langid, mixing, pieces, pii, quality, secret_scan, simhash, substring, tokens, vector_codes, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n_tokens", digest("ids"), digest("decoded"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.Coder().fit_codes(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda k: F.lower(F.lpad(F.hex(k), 2, "0"))), "").alias("code")
+    books_hash = F.sha2(F.lit(vector_codes.listed(books)).cast("binary"), 256).alias("codebooks_sha256")
+    return vector_codes.label_errors(coded).select("vec_id", code, "error", "label_error", books_hash)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,12 +85,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_pii_spans, op2_simhash_near_dedup, op3_source_mix, op4_language_id, op5_secret_scan, op6_quality_rules)
-    found += (op7_warc_archives, op8_substring_dedup, op9_benchmark_decontamination, op10_token_records, pipeline)
+    found += (op7_warc_archives, op8_substring_dedup, op9_benchmark_decontamination, op10_token_records, op12_sentence_pieces, op13_vector_codes, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op3_source_mix": mixing.ORACLE, "op7_warc_archives": warc.ORACLE, "op8_substring_dedup": substring.ORACLE}
+    out = {"op3_source_mix": mixing.ORACLE, "op7_warc_archives": warc.ORACLE, "op8_substring_dedup": substring.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
     return out if corpus_pipeline.ORACLE_SQL is None else out | {"pipeline": corpus_pipeline.ORACLE_SQL}
