@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pieces, pii, quality, secret_scan, simhash, substring, tokens, vector_codes, warc
+from . import collocations, decontam, langid, mixing, pieces, pii, quality, secret_scan, simhash, substring, tokens, vector_codes, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +64,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
@@ -85,12 +89,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_pii_spans, op2_simhash_near_dedup, op3_source_mix, op4_language_id, op5_secret_scan, op6_quality_rules)
-    found += (op7_warc_archives, op8_substring_dedup, op9_benchmark_decontamination, op10_token_records, op12_sentence_pieces, op13_vector_codes, pipeline)
+    found += (op7_warc_archives, op8_substring_dedup, op9_benchmark_decontamination, op10_token_records, op11_collocations, op12_sentence_pieces, op13_vector_codes, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op3_source_mix": mixing.ORACLE, "op7_warc_archives": warc.ORACLE, "op8_substring_dedup": substring.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+    out = {"op3_source_mix": mixing.ORACLE, "op7_warc_archives": warc.ORACLE, "op8_substring_dedup": substring.ORACLE, "op11_collocations": collocations.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
     return out if corpus_pipeline.ORACLE_SQL is None else out | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -148,6 +148,8 @@ class Coder:
         first = rows.select("id", "v").orderBy(F.asc_nulls_last("id"), "v").limit(self.entries).collect()
         if not first:
             return []
+        if len({len(r.v) for r in first}) > 1:
+            raise ValueError(f"a vector has not {len(first[0].v)} components, as that of the smallest id")
         whole = self._integers(np.array([r.v for r in first], float).reshape(len(first), -1))
         return [np.ascontiguousarray(p) for p in np.split(whole, self.parts, 1)]
 
