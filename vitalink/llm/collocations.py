@@ -6,7 +6,7 @@ the documents, which are held as arrays of the numbers of the level before, -1 w
 
 1. Keys are counted in hashed buckets; what lies in a bucket below the least count is no candidate.
 2. The different keys that are left are the candidates: no frequent phrase is lost, few others come along.
-3. Candidates are dealt to shards of about half a million, each with a minimal perfect hash and its keys by slot.
+3. Candidates are dealt to shards of a quarter of a million at most, each with a minimal perfect hash and its keys by slot.
 4. Mappers look up slots, compare the stored key, and count slots with ``bincount``; arrays are summed up a tree.
 
 The words themselves are level one, with their text as the stored key.  Counts of the parts of a phrase are then those of
@@ -28,9 +28,9 @@ from .common import drop_dir, mix, shared_dir, sliced, utf8, word_hashes
 from .perfect_hash import PerfectHash
 
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Bits of a number that are its slot, and the mean number of keys of a shard.
-SLOT_BITS, SHARD_KEYS = 20, 1 << 19
-_CHUNK, _KEPT_BYTES, _BRANCHES = 4 << 20, 64 << 20, 16
+#: Bits of a number that are its slot, and the most keys of a shard on average.
+SLOT_BITS, SHARD_KEYS = 20, 1 << 18
+_CHUNK, _KEPT_BYTES, _BRANCHES = 2 << 20, 24 << 20, 16
 _PARTIAL = "at int, node int, wide int, slots binary, counts binary"
 
 _IS_END, _IS_GAP, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -68,7 +68,7 @@ def chunks(batch: pa.RecordBatch, most: int = _CHUNK):
         end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         if len(start):
             text = np.searchsorted(offsets, start + at, "right") - 1
-            piece = np.cumsum(_IS_END[part])[start]
+            piece = np.cumsum(_IS_END[part], dtype=np.int32)[start]
             first = np.ones(len(start), bool)
             first[1:] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
             cuts = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
@@ -88,16 +88,34 @@ def _pairs(batch: pa.RecordBatch):
         yield lang.dictionary.take(pa.array(each // len(coded.dictionary))), coded.dictionary.take(pa.array(each % len(coded.dictionary))), place, first
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, f: all words with their counts, and for each language a row without a word with the number of them all."""
+def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
+    """lang, word, f: all words with their counts, and for each language a row without a word with the number of them all.
+
+    A task adds up what fits ``most`` rows before it sends them.
+    """
 
     def run(batches):
+        held, n = [], 0
+
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("f", "sum")])
+            return found.rename_columns(["lang", "word", "f"]).cast(held[0].schema)
+
         for batch in sliced(batches, 1, _CHUNK):
             for langs, words, place, _ in _pairs(batch):
-                count = np.bincount(place, minlength=len(words))
-                total = pa.table({"lang": langs, "f": count}).group_by("lang").aggregate([("f", "sum")])
-                yield pa.RecordBatch.from_arrays([langs, words, pa.array(count, pa.int64())], names=["lang", "word", "f"])
-                yield pa.RecordBatch.from_arrays([total["lang"].combine_chunks(), pa.nulls(len(total), pa.string()), total["f_sum"].combine_chunks().cast(pa.int64())], names=["lang", "word", "f"])
+                count = pa.array(np.bincount(place, minlength=len(words)), pa.int64())
+                held.append(pa.table({"lang": langs, "word": words, "f": count}))
+                total = held[-1].group_by("lang").aggregate([("f", "sum")])
+                held.append(pa.table({"lang": total["lang"], "word": pa.nulls(len(total), pa.string()), "f": total["f_sum"]}))
+                n += len(words)
+                if n > most:
+                    held = [summed()]
+                    n = len(held[0])
+                    if 2 * n > most:  # most words are rare ones
+                        yield from held[0].to_batches(1 << 16)
+                        held, n = [], 0
+        if held:
+            yield from summed().to_batches(1 << 16)
 
     return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
@@ -168,11 +186,12 @@ def _shard(uri: str, k: int) -> Shard:
     if (uri, k) in _KEPT:
         _KEPT.move_to_end((uri, k))
         return _KEPT[uri, k]
-    rows = _table(uri, ["shard", "hash", "numbers", "texts"], dataset.field("shard") == k).to_pylist()
-    if not rows:
+    rows = _table(uri, ["shard", "hash", "numbers", "texts"], dataset.field("shard") == k).combine_chunks()
+    if not len(rows):
         found = Shard(PerfectHash.build(np.zeros(0, np.uint64)).to_bytes(), np.zeros(0, np.int64))
     else:
-        found = Shard(rows[0]["hash"], np.frombuffer(rows[0]["numbers"], "<i8") if rows[0]["texts"] is None else pa.array(rows[0]["texts"], pa.string()))
+        numbers, texts = rows["numbers"][0], rows["texts"][0]
+        found = Shard(rows["hash"][0].as_py(), np.frombuffer(numbers.as_buffer(), "<i8") if numbers.is_valid else texts.values.cast(pa.string()))
     _KEPT[uri, k] = found
     while len(_KEPT) > 1 and sum(s.bytes for s in _KEPT.values()) > _KEPT_BYTES:
         _KEPT.popitem(last=False)
