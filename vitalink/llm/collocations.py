@@ -30,7 +30,7 @@ from .perfect_hash import PerfectHash
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of a number that are its slot, and the most keys of a shard on average.
 SLOT_BITS, SHARD_KEYS = 20, 1 << 18
-_CHUNK, _KEPT_BYTES, _BRANCHES = 2 << 20, 24 << 20, 16
+_CHUNK, _KEPT_BYTES, _BRANCHES = 1 << 20, 24 << 20, 16
 _PARTIAL = "at int, node int, wide int, slots binary, counts binary"
 
 _IS_END, _IS_GAP, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -182,7 +182,7 @@ def _table(uri: str, columns: list[str], where=None) -> pa.Table:
 
 
 def _shard(uri: str, k: int) -> Shard:
-    """A shard from the shared folder; the last used ones stay in memory, up to a number of bytes."""
+    """A shard from the shared folder; those of its table used last stay in memory, up to a number of bytes."""
     if (uri, k) in _KEPT:
         _KEPT.move_to_end((uri, k))
         return _KEPT[uri, k]
@@ -192,6 +192,8 @@ def _shard(uri: str, k: int) -> Shard:
     else:
         numbers, texts = rows["numbers"][0], rows["texts"][0]
         found = Shard(rows["hash"][0].as_py(), np.frombuffer(numbers.as_buffer(), "<i8") if numbers.is_valid else texts.values.cast(pa.string()))
+    for other in [x for x in _KEPT if x[0] != uri]:
+        del _KEPT[other]
     _KEPT[uri, k] = found
     while len(_KEPT) > 1 and sum(s.bytes for s in _KEPT.values()) > _KEPT_BYTES:
         _KEPT.popitem(last=False)
@@ -407,7 +409,9 @@ class Miner:
                             yield _rows(out, _PARTIAL)
 
             partial = rows.mapInArrow(bucket_counts, _PARTIAL)
-            _packed(tree_sum(partial, 1 << low, -(-nodes // _BRANCHES)), 1 << low, self.least).write.parquet(f"{base}/buckets{m}")
+            # written first, or each task would have a second Python worker
+            tree_sum(partial, 1 << low, -(-nodes // _BRANCHES)).write.parquet(f"{base}/sums{m}")
+            _packed(spark.read.parquet(f"{base}/sums{m}"), 1 << low, self.least).write.parquet(f"{base}/buckets{m}")
             full = f"{base}/buckets{m}", 1 << bits - low, 1 << low
 
             def candidates(batches, numbers_of=numbers_of, buckets_of=buckets_of, full=full):
@@ -449,6 +453,7 @@ class Miner:
             enough = f"{base}/enough{m}", n_shards
             found.append(self._unpacked(spark.read.parquet(f"{base}/shards{m}"), sums))
             drop_dir(spark, f"{base}/numbers{m - 1}")
+            drop_dir(spark, f"{base}/sums{m}")
             drop_dir(spark, f"{base}/buckets{m}")
             drop_dir(spark, f"{base}/keys{m}")
         return totals, found
