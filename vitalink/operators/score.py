@@ -82,9 +82,15 @@ _day = lambda d: F.coalesce(d, F.lit("")).rlike("^$|" + _DAY)
 
 
 def asked_forms(requests: DataFrame) -> DataFrame:
-    """Requests (first_q, last_q, sex_q, birth_q) with what the expressions compare, and whether these cover them."""
+    """Requests (first_q, last_q, sex_q, birth_q) with what the expressions compare, and whether these cover them.
+
+    Those with a birth place are left to the function.
+    """
     first, last = normalized(F.col("first_q")), normalized(F.col("last_q"))
     covered = _one(first) & _one(last) & _latin(F.col("first_q"), F.col("last_q")) & _day(F.col("birth_q")) & (F.coalesce(F.col("sex_q"), F.lit("")) != "")
+    for c in ("city_q", "code_q", "department_q", "country_q", "lat_q", "lon_q"):
+        if c in requests.columns:
+            covered = covered & (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
     return requests.withColumns({"_fq": names.form(first), "_lq": names.form(last), "_plain_q": F.coalesce(covered, F.lit(False))})
 
 

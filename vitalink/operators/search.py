@@ -44,11 +44,12 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
     close = lambda x, t: F.levenshtein(x, b, t) >= 0
     if k == 0:
         return a == b
-    out = (a == b) | close(a, k) | _swaps(a, lambda x: close(x, k - 1))
+    out = close(a, k) | _swaps(a, lambda x: close(x, k - 1))
     if k == 2:
         letters = lambda x: F.array_sort(F.split(x, ""))
         out = out | ((F.length(a) == F.length(b)) & (letters(a) == letters(b)) & _swaps(a, lambda x: _swaps(x, lambda y: y == b)))
-    return out
+    # a swap is two plain edits and changes no length: most pairs end here
+    return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= k) & close(a, 2 * k) & out)
 
 
 def auto_edits(length: int) -> int:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, places, text
 from ..functions.blend import Params
-from ..operators import aggregate, link, score, search
+from ..operators import aggregate, blocking, link, score, search
 from ..operators.requests import parse
-from ..sources import bulk, reference
+from ..sources import bulk, reference, stage
 from .persons import PERSONS_SQL, nested, persons, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,7 +472,7 @@ _BIRTH = f"""0.01::DOUBLE * floor(pow(CASE WHEN birth_q = birth_date THEN 1.0::D
     ELSE greatest(e, CASE WHEN left(birth_q, 6) = left(birth_date, 6) THEN 0.9 ELSE 0 END, {_exact_r2('1 - pow(pow(apart * 86400000.0::DOUBLE / 31536000000.0::DOUBLE, 2), 0.2)')}) END, 2.5) * 100 + 0.5)"""
 
 
-def _scored_sql(named: str, sexed: str, asked_sex: bool = True) -> str:
+def _scored_sql(named: str, sexed: str, asked_sex: bool = True, place: str = "0.75::DOUBLE", weight: int = 2) -> str:
     """From ``named``: the part scores, each only while those before it are good enough, and their blend.
 
     Without ``asked_sex`` the request has no sex; ``sexed`` then counts whatever the parts before it.
@@ -483,9 +483,9 @@ def _scored_sql(named: str, sexed: str, asked_sex: bool = True) -> str:
     born AS (SELECT * EXCLUDE (name), name AS full_name, {_BIRTH} AS "birthDate" FROM dated),
     go1 AS (SELECT *, CASE WHEN {_blend_sql('"birthDate"')} > 0.3 OR "birthDate" = 0 THEN full_name END AS name FROM born),
     go2 AS (SELECT *, CASE WHEN {going if asked_sex else 'true'} THEN {sexed} END AS s, {going} AS going FROM go1),
-    go3 AS (SELECT *, CASE WHEN going AND {_blend_sql('"birthDate"', 'name', 's')} > 0.3 THEN 0.75::DOUBLE END AS "birthLocation" FROM go2),
+    go3 AS (SELECT *, CASE WHEN going AND {_blend_sql('"birthDate"', 'name', 's')} > 0.3 THEN {place} END AS "birthLocation" FROM go2),
     blends AS (SELECT *, {_blend_sql('"birthDate"', 'name', 's', '"birthLocation"')} AS blend, ("birthDate" IS NOT NULL)::INT + (name IS NOT NULL)::INT + (s IS NOT NULL)::INT + ("birthLocation" IS NOT NULL)::INT AS n_parts FROM go3),
-    blind AS (SELECT *, {_exact_r2('pow(blend, 2 / (0.5::DOUBLE * (coalesce((name >= 0.75)::INT, 0) + coalesce(("birthLocation" >= 0.75)::INT, 0)) + n_parts + 1))')} AS score FROM blends)"""
+    blind AS (SELECT *, {_exact_r2(f'pow(blend, {weight} / (0.5::DOUBLE * (coalesce((name >= 0.75)::INT, 0) + coalesce(("birthLocation" >= 0.75)::INT, 0)) + n_parts + 1))')} AS score FROM blends)"""
 
 
 def _penalties_sql(scored: str, candidates: int, boosts: str) -> str:
@@ -501,20 +501,88 @@ def _penalties_sql(scored: str, candidates: int, boosts: str) -> str:
     finals AS (SELECT *, CASE WHEN after < top AND after < 0.4 THEN 0.0 ELSE after END AS final FROM priced)"""
 
 
-_LINKED = f""", pairs AS (SELECT r.*, p.uid, p.first, p.last, p.second_name, p.sex, p.birth_date FROM requests r JOIN persons p ON {_ADMITTED}), {_likeness_sql()}, {_named_sql('pairs')},
-  {_scored_sql('named', 'CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END')}, {_penalties_sql('blind', 2, '1 + 2 * (last_q = last)::INT + (first_q = first)::INT + (birth_q = birth_date)::INT')},
+# The words of a person and of a request, the rarity of words and dates, and the rank of admitted pairs.
+_PERSON_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(first || ' ' || second_name || ' ' || last), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> ''))"
+_RARITY = "floor(1000 * ln(1 + (total - {df} + 0.5::DOUBLE) / ({df} + 0.5::DOUBLE)))::BIGINT"
+
+
+def _ranked_sql(asked: str = "requests") -> str:
+    return f"""sizes AS (SELECT count(*) AS total FROM persons),
+  words AS (SELECT w, {_RARITY.format(df='count(*)')} AS n FROM (SELECT unnest({_PERSON_WORDS}) AS w FROM persons), sizes GROUP BY w, total),
+  days AS (SELECT birth_date AS d, {_RARITY.format(df='count(*)')} AS n FROM persons, sizes GROUP BY birth_date, total),
+  admitted AS (SELECT r.qid, p.uid, list_distinct(string_split(r.first_q || ' ' || r.last_q, ' ')) AS mine, {_PERSON_WORDS} AS theirs, CASE WHEN r.birth_q = p.birth_date THEN r.birth_q END AS day FROM {asked} r JOIN persons p ON {_ADMITTED}),
+  spread AS (SELECT qid, uid, theirs, day, unnest(mine) AS w FROM admitted),
+  each AS (SELECT s.qid, s.uid, s.day, CASE WHEN list_contains(theirs, s.w) THEN coalesce(words.n, {_RARITY.format(df='0')})
+      WHEN len(list_filter(theirs, lambda t: {_AUTO.format(a='t', b='s.w')})) > 0 THEN coalesce(words.n, {_RARITY.format(df='0')}) // 2 ELSE 0 END AS x FROM spread s JOIN sizes ON true LEFT JOIN words ON words.w = s.w),
+  ranks AS (SELECT qid, uid, (sum(x) + coalesce(any_value(days.n), 0))::BIGINT / 1000.0::DOUBLE AS rank FROM each LEFT JOIN days ON days.d = each.day GROUP BY qid, uid),
+  top AS (SELECT * FROM ranks QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank DESC, uid) <= 20)"""
+
+
+@query(f", {_ranked_sql()} SELECT * FROM top")
+def link_ranked(spark, sf_dir):
+    people = persons(spark, sf_dir)
+    base = stage.workspace(spark)
+    asked, known = stage.stored(link.asked_words(requests(people)), f"{base}/asked"), stage.stored(link.known_words(people), f"{base}/known")
+    return link.ranked(asked, known)
+
+
+def _linked_sql(asked: str, more: str, place: str, weight: int) -> str:
+    """The best two of the 20 ranked candidates of each request; ``place`` is the score of the birth place."""
+    return f"""{_ranked_sql(asked)}, pairs AS (SELECT r.*, p.uid, p.first, p.last, p.second_name, p.sex, p.birth_date, {more} t.rank FROM top t JOIN {asked} r USING (qid) JOIN persons p USING (uid)),
+  {_likeness_sql()}, {_named_sql('pairs')}, {_scored_sql('named', 'CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END', place=place, weight=weight)}, {_penalties_sql('blind', 2, 'rank')},
   best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rank DESC, uid) AS place FROM finals WHERE final >= 0.3)
-  SELECT r.qid, r.first_q, r.last_q, r.sex_q, r.birth_q, uid, score, "birthDate", s AS sex, round(name, 6) AS name, CASE WHEN name IS NOT NULL THEN sf END AS name_first, CASE WHEN name IS NOT NULL THEN sl END AS name_last, "birthLocation", n_parts, final, place
-  FROM requests r LEFT JOIN (SELECT * FROM best WHERE place <= 2) b ON b.qid = r.qid"""
+  SELECT r.*, uid, score, "birthDate", s AS sex, round(name, 6) AS name, CASE WHEN name IS NOT NULL THEN sf END AS name_first, CASE WHEN name IS NOT NULL THEN sl END AS name_last, "birthLocation", n_parts, final, place
+  FROM {asked} r LEFT JOIN (SELECT * FROM best WHERE place <= 2) b ON b.qid = r.qid"""
 
 
-@query(_LINKED)
+@query(", " + _linked_sql("requests", "", "0.75::DOUBLE", 2))
 def bulk_linkage(spark, sf_dir):
     people = persons(spark, sf_dir)
     rows = link.link(requests(people), people, nested(), Params(candidates=2))
     return rows.withColumn("name", F.round("name", 6)).drop("deathDate", "deathLocation", "explain")
 
 
+# A request's place: the city without its last letter for some, the code of another commune of the department for others.
+_PLACED = """located AS (SELECT r.*, CASE WHEN qid // 50 % 3 = 0 THEN left(birth_city, length(birth_city)::BIGINT - 1) ELSE birth_city END AS city_q,
+    CASE WHEN qid // 50 % 5 = 0 THEN left(birth_code, 2) || '999' ELSE birth_code END AS code_q FROM requests r JOIN persons p ON p.uid = r.qid)"""
+_CITY = "(CASE WHEN lower(city_q) = lower(birth_city) THEN 1.0::DOUBLE ELSE " + _R2.format(x="1 - levenshtein(lower(city_q), lower(birth_city)) / greatest(length(city_q), length(birth_city))::DOUBLE") + " END)"
+_CODE = "(CASE WHEN code_q = birth_code THEN 1.0::DOUBLE WHEN left(code_q, 2) = left(birth_code, 2) THEN 0.87 ELSE 0.7 END)"
+_PLACE = f"greatest(0.2, {_R2.format(x=f'{_CODE} * (CASE WHEN {_CODE} = 1 AND {_CITY} < 0.75 THEN 0.87 ELSE {_CITY} END)')})"
+
+
+def placed_requests(people: DataFrame) -> DataFrame:
+    """Requests with a birth place, corrupted by rule."""
+    kind = F.floor(F.col("uid") / 50)
+    places_of = people.where("uid % 50 = 0").select(
+        F.col("uid").alias("qid"), F.when(kind % 3 == 0, F.left("birth_city", F.length("birth_city") - 1)).otherwise(F.col("birth_city")).alias("city_q"),
+        F.when(kind % 5 == 0, F.concat(F.left("birth_code", F.lit(2)), F.lit("999"))).otherwise(F.col("birth_code")).alias("code_q"),
+    )
+    return requests(people).join(places_of, "qid")
+
+
+@query(f", {_PLACED}, " + _linked_sql("located", "p.birth_city, p.birth_code,", _PLACE, 3))
+def link_places(spark, sf_dir):
+    """Linkage of requests with a birth place, all persons born in France."""
+    people = persons(spark, sf_dir).withColumn("birth_country_code", F.lit("FRA"))
+    rows = link.link(placed_requests(people), people, nested(code="birth_country_code"), Params(candidates=2))
+    return rows.withColumn("name", F.round("name", 6)).drop("deathDate", "deathLocation", "explain")
+
+
+_TWO_OF_THREE = "((p.last = r.last_q)::INT + (damerau_levenshtein(p.birth_date, r.birth_q) <= 1)::INT + (p.birth_code = r.code_q)::INT) >= 2"
+
+
+@query(f", {_PLACED} SELECT r.qid, p.uid FROM located r JOIN persons p ON {_TWO_OF_THREE}")
+def link_two_of_three(spark, sf_dir):
+    """Pairs that agree in two of last name, birth date (one edit) and commune: requests need none of the three."""
+    people = persons(spark, sf_dir).select("uid", "last", "birth_date", "birth_code")
+    asked = placed_requests(persons(spark, sf_dir)).select("qid", "last_q", "birth_q", "code_q")
+    fields = {
+        "last": (F.array("last_q"), F.array("last")), "date": (link.deletions(F.col("birth_q")), link.deletions(F.col("birth_date"))), "code": (F.array("code_q"), F.array("birth_code")),
+    }
+    agree = {"last": F.col("last_q") == F.col("last"), "date": search.within_edits(F.col("birth_date"), F.col("birth_q"), 1), "code": F.col("code_q") == F.col("birth_code")}
+    return blocking.m_of_n(asked, people, fields, 2, agree)
+
+
 @query("SELECT count(*) AS total, (SELECT count(*) FROM (SELECT DISTINCT sex, birth_country FROM persons WHERE birth_date LIKE '1997%')) AS buckets FROM persons WHERE birth_date LIKE '1997%'")
 def agg_summary(spark, sf_dir):
     return aggregate.summary(persons(spark, sf_dir), parse({"birthDate": "1997", "aggs": '["sex", "birthCountry"]'}, aggregation=True))

@@ -76,10 +76,10 @@ def requests(people: DataFrame) -> DataFrame:
     )
 
 
-def nested(p: str = "") -> Column:
-    """The nested person of the flat columns (with a prefix), as JSON."""
+def nested(p: str = "", code: str | None = None) -> Column:
+    """The nested person of the flat columns (with a prefix), as JSON; ``code`` is a column with the country's code."""
     c = lambda x: F.col(p + x)
-    place = F.struct(c("birth_city").alias("city"), c("birth_code").alias("code"), c("birth_department").alias("departmentCode"), c("birth_country").alias("country"), c("lat").alias("latitude"), c("lon").alias("longitude"))
+    place = F.struct(c("birth_city").alias("city"), c("birth_code").alias("code"), c("birth_department").alias("departmentCode"), c("birth_country").alias("country"), c("lat").alias("latitude"), c("lon").alias("longitude"), *([c(code).alias("countryCode")] if code else []))
     return F.to_json(F.struct(
         F.struct(F.array(c("first"), c("second_name")).alias("first"), c("last").alias("last")).alias("name"), c("sex").alias("sex"),
         F.struct(c("birth_date").alias("date"), place.alias("location")).alias("birth"), F.struct(c("death_date").alias("date")).alias("death"),
