@@ -377,5 +377,5 @@ def test_pipeline_stages_on_awkward_rows(odd, none, spark, tmp_path):
 
 def test_all_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
