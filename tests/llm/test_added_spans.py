@@ -45,3 +45,35 @@ def test_long_values_take_linear_time(table):
     began = time.time()
     assert pii.digest(pii.find(docs)).count() == len(long)
     assert time.time() - began < 60
+
+
+def test_unbeaten_equals_all_pairs(spark):
+    """The sweep against the plain rule over all pairs, with spans that touch, nest, cross and tie, across blocks."""
+    rng = random.Random(11)
+    cases = []
+    for k in range(40):
+        spans = []
+        for kind in range(3):  # spans of a kind do not overlap, as matches of a pattern
+            at = 0
+            for _ in range(rng.choice([0, 1, 3, 30, 700])):
+                at += rng.choice([0, 1, 5])
+                end = at + rng.choice([1, 2, 4, 40])
+                spans.append((kind, at, end, rng.random() < 0.3, rng.choice([0.5, 0.9, 0.95])))
+                at = end
+        cases.append((k, spans))
+    fields = "base boolean, score double"
+    rows = spark.createDataFrame(cases, "k int, spans array<struct<kind:int,start:int,end:int,base:boolean,score:double>>")
+    got = {r.k: sorted(map(tuple, r.spans)) for r in pii.unbeaten(rows, "spans", fields, lambda a, b: (a["base"] & ~b["base"]) | ((a["base"] == b["base"]) & (a["score"] > b["score"]))).collect()}
+    beats = lambda a, b: (a[3] and not b[3]) or (a[3] == b[3] and a[4] > b[4])
+    for k, spans in cases:
+        want = [c for c in spans if not any(b[1] < c[2] and c[1] < b[2] and beats(b, c) for b in spans)]
+        assert got[k] == sorted(want)
+
+
+def test_many_spans_take_nearly_linear_time(table):
+    many = ["a@b.cd 999.1.1.1 " * 60_000, "call 212-555-0100 now " * 45_000, "10.0.0.1,+1 212 555 0100;4111111111111111; " * 24_000]
+    docs = table([(k, t, "en", "a") for k, t in enumerate(many)])
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    assert got[0].n_email == 60_000 and got[2].n_ip == got[2].n_phone == got[2].n_card == 24_000
+    assert time.time() - began < 60

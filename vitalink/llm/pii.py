@@ -6,7 +6,8 @@ gazetteer, the words before it, and its shape.  Expectation-maximisation over th
 of the vote patterns (a table of bounded size, whatever the corpus) estimates how reliable each labeler is; its
 posteriors then train the final span classifier, a logistic regression over the votes and over traits of the span and
 its surroundings that no labeler looks at, emitted as a Spark expression.  Spans of the strict patterns always stay; the
-classifier adds others.  No expression takes more than linear time in the length of a text or a span.
+classifier adds others.  Overlaps are settled in one sweep over the sorted spans, so that time grows nearly linearly
+with the length of a text, a span, and with the number of spans of a text.
 """
 
 from __future__ import annotations
@@ -147,6 +148,36 @@ def _votes(c: Column) -> Column:
     )
 
 
+def unbeaten(rows: DataFrame, column: str, fields: str, beats) -> DataFrame:
+    """``rows`` without the spans that an overlapping one beats, beaten or not itself; the others in no fixed order.
+
+    The spans are structs of kind, start, end and ``fields``.  One sweep by their starts: those that still overlap are
+    at hand, at most one of each pattern, as the matches of a pattern do not overlap; each is given out once it has
+    ended.  What is given out is gathered in blocks, so that very many spans take no square of time.
+    """
+    span = f"struct<kind:int,start:int,end:int,{fields.replace(' ', ':').replace(',:', ',')}>"
+    none = F.expr(f"cast(array() as array<{span}>)")
+    alone = lambda live: F.transform(F.filter(live, lambda a: ~a["beaten"]), lambda a: a["span"])
+
+    def step(acc: Column, pair: Column) -> Column:
+        new = pair["span"]
+        live = F.filter(acc["live"], lambda a: a["span"]["end"] > new["start"])
+        over = F.filter(acc["live"], lambda a: a["span"]["end"] <= new["start"])
+        marked = F.transform(live, lambda a: F.struct(a["span"].alias("span"), (a["beaten"] | beats(new, a["span"])).alias("beaten")))
+        own = F.struct(new.alias("span"), F.exists(live, lambda a: beats(a["span"], new)).alias("beaten"))
+        return F.struct(F.array_append(marked, own).alias("live"), F.concat(acc["out"], alone(over)).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        done = lambda d: F.struct(d["live"].alias("live"), F.array_append(acc["out"], d["out"]).alias("out"))
+        return F.aggregate(F.slice("_sorted", i, _BLOCK), F.struct(acc["live"].alias("live"), none.alias("out")), step, done)
+
+    start = F.struct(F.expr(f"cast(array() as array<struct<span:{span},beaten:boolean>>)").alias("live"), F.expr(f"cast(array() as array<array<{span}>>)").alias("out"))
+    blocks = F.sequence(F.lit(1), F.size("_sorted"), F.lit(_BLOCK))
+    swept = F.aggregate(blocks, start, block, lambda acc: F.concat(F.flatten(acc["out"]), alone(acc["live"])))
+    sorted_ = rows.withColumn("_sorted", F.sort_array(F.transform(column, lambda c: F.struct(c["start"].alias("at"), c.alias("span")))))
+    return sorted_.withColumn(column, F.when(F.size("_sorted") > 1, swept).otherwise(F.transform("_sorted", lambda c: c["span"]))).drop("_sorted")
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and found: the candidate spans of each row with their votes, an empty array for most.
 
@@ -170,9 +201,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", *(f"m{n}" for n in range(len(patterns))), *(F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).alias(f"p{n}") for n, (_, _, p) in enumerate(patterns)))
     found = [F.coalesce(_located(F.col(f"m{n}"), F.col(f"p{n}"), KINDS.index(k), strict), F.expr(_NONE)) for n, (k, strict, _) in enumerate(patterns)]
     rows = rows.select("doc_id", F.concat(*found).alias("spans"))
-    rows = rows.select("doc_id", F.transform("spans", _votes).alias("found")).withColumn("fixed", F.filter("found", lambda c: c["base"]))
-    apart = lambda c: ~F.exists("fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return rows.select("doc_id", F.filter("found", lambda c: c["base"] | apart(c)).alias("found"))
+    rows = rows.select("doc_id", F.transform("spans", _votes).alias("found"))
+    return unbeaten(rows, "found", "base boolean, votes array<int>, traits array<int>", lambda a, b: a["base"] & ~b["base"])
 
 
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict[tuple, float], dict]:
@@ -234,7 +264,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """doc_id and found: an array of (kind, start, end, base, score) for each row of ``docs``, ordered by kind and start.
 
     base spans are those of the strict patterns; of the other candidates those stay whose score is ``least`` or more
-    and that overlap no base span and no other of a higher score.  Null texts count as empty.  Repeated rows give repeated rows, null ids stay null,
+    and that overlap no base span and no other of a higher score.  Null texts count as empty.  Long texts and texts
+    of very many spans are taken whole, in memory in proportion to them.  Repeated rows give repeated rows, null ids stay null,
     other columns are ignored.
     """
     rows = cut(candidates(docs, id_col, text_col))
@@ -254,8 +285,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     scored = rows.select("doc_id", F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), score(c).alias("score"))).alias("all"))
     scored = scored.select("doc_id", F.filter("all", lambda c: c["base"] | (c["score"] >= least)).alias("all"))
     better = lambda b, c: (b["score"] > c["score"]) | ((b["score"] == c["score"]) & ((b["start"] < c["start"]) | ((b["start"] == c["start"]) & (b["kind"] < c["kind"]))))
-    beaten = lambda c: F.exists("all", lambda b: ~b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]) & better(b, c))
-    return scored.select("doc_id", F.array_sort(F.filter("all", lambda c: c["base"] | ~beaten(c))).alias("found"))
+    kept = unbeaten(scored, "all", "base boolean, score double", lambda b, c: ~b["base"] & ~c["base"] & better(b, c))
+    return kept.select("doc_id", F.sort_array("all").alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
