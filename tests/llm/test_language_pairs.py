@@ -1,6 +1,7 @@
 """One-versus-one machines within a family, and the same n-grams in training and prediction."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +56,44 @@ def test_family_of_four_and_many_labels(table):
     got = {r.doc_id: r for r in langid.held_out_languages(table(texts), per_label=60).collect()}
     held = [k for k in range(720) if got[k].held_out]
     assert sum(got[k].lang_pred == texts[k][2] for k in held) >= 0.95 * len(held)
+
+
+def _many(labels: int, dimensions: int = langid.DIMENSIONS) -> langid.Hierarchy:
+    rng = np.random.default_rng(5)
+    names = [f"x{k:03d}" for k in range(labels)]
+    table = np.concatenate([rng.normal(size=(dimensions, labels)), np.zeros((1, labels))]).astype(np.float32)
+    one = {n: langid.Pairs([n], [], np.zeros((dimensions + 1, 0), np.float32), np.zeros(0)) for n in names}
+    return langid.Hierarchy(langid.Linear(names, table[:-1].T, np.zeros(labels, np.float32)), table, one)
+
+
+def test_long_texts_count_as_whole_ones():
+    """Pieces lose and repeat no n-gram, and the prediction is that of the plain form."""
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, langid.PIECE - 1, langid.PIECE, langid.PIECE + 1, langid.PIECE + 2, 2 * langid.PIECE + 1):
+        raw = rng.integers(1, 256, size).astype(np.uint8)
+        want = np.bincount(langid.grams(raw, np.array([0, size])).ravel(), minlength=langid.DIMENSIONS + 1)
+        assert (langid.gram_counts(raw) == want).all()
+    x = np.stack([langid.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in (b"der die das und", b"the and of that", b"le la les et des")])
+    model = langid.train(np.repeat(x, 4, axis=0), [c for c in ("de", "en", "fr") for _ in range(4)])
+    for t in (b"the cat and the dog of that house", b"der Hund und die Katze", b"le chat et la table des rois"):
+        raw = np.frombuffer(t * 50_000, np.uint8)
+        (language,), (score,) = langid.predict(model, raw, np.array([0, len(raw)]))
+        got = langid.predict_long(model, raw)
+        assert got[0] == language and abs(got[1] - score) < 1e-3
+
+
+def test_memory_of_long_texts_and_many_labels_is_bounded():
+    raw = np.frombuffer(b"some words of a very long text " * 3_300_000, np.uint8)  # 100 MB
+    model = _many(500)
+    short = raw[: 1 << 20]
+    for run in (lambda: langid.predict_long(model, raw), lambda: langid.predict(model, short, np.arange(0, len(short) + 1, 1 << 10)), lambda: langid.has_letter(raw, np.array([0, len(raw)]))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500 << 20
+
+
+def test_letters_after_the_first_piece():
+    raw = np.frombuffer(("12 " * langid.PIECE + "é").encode(), np.uint8)
+    assert langid.has_letter(np.concatenate([raw, raw[:-2]]), np.array([0, len(raw), 2 * len(raw) - 2])).tolist() == [True, False]

@@ -58,6 +58,20 @@ def grams(raw: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS) ->
     return out
 
 
+#: Bytes of a long text that are taken at once, and floats of scores at once.
+PIECE, CELLS = 1 << 20, 1 << 23
+
+
+def gram_counts(raw: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """How often each hashed n-gram occurs in one text, piece by piece; the last number is of those that are none."""
+    out = np.zeros(dimensions + 1, np.int64)
+    for i in range(0, len(raw), PIECE):
+        part = raw[i : i + PIECE + 2]  # two bytes more, for the n-grams that start here and end there
+        code = grams(part, np.array([0, len(part)]), dimensions)[:, : min(PIECE, len(raw) - i)]
+        out += np.bincount(code.ravel(), minlength=dimensions + 1)
+    return out
+
+
 def _sizes(offsets: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(offsets), 1)
 
@@ -183,15 +197,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def means(table: np.ndarray, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The mean score of each text and model, from the numbers of its n-grams."""
+    """The mean score of each text and model, from the numbers of its n-grams; a block of the models at a time."""
     total = np.zeros((len(offsets) - 1, table.shape[1]))
     full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full) and table.shape[1]:
-        value = table[code[0]] + table[code[1]] + table[code[2]]
-        total[full] = np.add.reduceat(value, offsets[:-1][full], axis=0)
+    if len(full):
+        each = max(1, CELLS // code.shape[1])
+        for k in range(0, table.shape[1], each):
+            some = np.ascontiguousarray(table[:, k : k + each])
+            value = some[code[0]]
+            value += some[code[1]]
+            value += some[code[2]]
+            total[full, k : k + each] = np.add.reduceat(value, offsets[:-1][full], axis=0)
     return total / _sizes(offsets)[:, None]
 
 
+def predict_long(model: Hierarchy, raw: np.ndarray) -> tuple[str, float]:
+    """(language, score) of one text of any length: its scores are linear in the counts of its n-grams."""
+    mean = gram_counts(raw, len(model.table) - 1) / max(len(raw), 1)
+    share = _softmax(mean[None] @ model.table + model.family.bias)[0]
+    pick = int(share.argmax())
+    inner = model.languages[model.family.names[pick]]
+    best, sure = inner.decide(mean[None] @ inner.weights)
+    return inner.names[best[0]], float(share[pick] * sure[0])
+
+
 def predict(model: Hierarchy, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language, score) of each text; the score is the family's share times the language's, both from 0 to 1."""
     n = len(offsets) - 1
@@ -213,23 +242,36 @@ def predict(model: Hierarchy, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])
-    out = np.diff(upto[offsets]) > 0
+    out = np.zeros(len(offsets) - 1, bool)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        out[full] = np.logical_or.reduceat(_ASCII_LETTER[raw], offsets[:-1][full])
     for k in np.flatnonzero(~out & (np.diff(offsets) > 0)):
-        out[k] = any(map(str.isalpha, raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
+        out[k] = any(any(map(str.isalpha, part)) for part in _decoded(raw[offsets[k] : offsets[k + 1]]))
     return out
 
 
+def _decoded(raw: np.ndarray):
+    """A text piece by piece; no character is cut."""
+    i = 0
+    while i < len(raw):
+        j = min(i + PIECE, len(raw))
+        while j < len(raw) and raw[j] & 0xC0 == 0x80:
+            j -= 1
+        yield raw[i:j].tobytes().decode("utf-8", "replace")
+        i = j
+
+
 def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pc.utf8_lower(texts))
 
 
-def learn(labelled: DataFrame, text_col: str, label_col: str, per_label: int, most_rows: int = 2400, most_labels: int = 5000, dimensions: int = DIMENSIONS) -> Hierarchy | None:
+def learn(labelled: DataFrame, text_col: str, label_col: str, per_label: int, most_rows: int = 2400, most_labels: int = 500, dimensions: int = DIMENSIONS) -> Hierarchy | None:
     """Fit the hierarchy on a sample of about ``per_label`` different texts of each label; None if no row has a label.
 
     One pass takes the texts whose hash falls below their label's share, so no task gathers the sample's candidates.
     With many labels each gets fewer, about ``most_rows`` in all but at least 8 of each.  Every label is learned; over
-    ``most_labels`` are refused with an error.
+    ``most_labels`` are refused with an error: eight rows of each, of 32 KiB, are what the driver takes.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -273,7 +315,10 @@ def identify(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", c
             raw, offsets = lowered(batch.column(batch.num_columns - 1))
             language, score = np.full(len(offsets) - 1, UNDETERMINED, object), np.zeros(len(offsets) - 1)
             if model is not None:
-                for i, j in slices(offsets, 1 << 20):
+                for i, j in slices(offsets, PIECE):
+                    if offsets[j] - offsets[i] > PIECE:  # one text
+                        language[i], score[i] = predict_long(model, raw[offsets[i] : offsets[j]])
+                        continue
                     language[i:j], score[i:j] = predict(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             none = ~has_letter(raw, offsets)
             language[none], score[none] = UNDETERMINED, 0.0
@@ -286,7 +331,8 @@ def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``.
 
     Rows whose crc32(id as text; null as empty) has the remainder 2 modulo 4 are held out of the training.  The model
-    is fitted on about ``per_label`` texts of each label (see :func:`learn`); predictions see the text alone.  Null and
+    is fitted on about ``per_label`` texts of each label (see :func:`learn`); predictions see the text alone, the whole
+    of it; n-grams of texts over 1 MB are counted piece by piece, so that little but the text is held.  Null and
     letterless texts are ``und``; so are all where nothing is labelled.  Repeated rows give repeated rows; other columns
     are ignored.
     """
