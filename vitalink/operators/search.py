@@ -156,15 +156,19 @@ def name_predicate(people: DataFrame, values: dict, fuzzy: bool, must: bool = Tr
     return straight | at_least(turned, max(k, 1)), rank + 0.5 * points(turned)
 
 
-def full_text_predicate(people: DataFrame, text: str) -> tuple[Column, Column]:
-    """(predicate, rank) of a free text: one dd/mm/yyyy date, and names; with two names, one is the last name."""
+def full_text_parts(text: str) -> tuple[str | None, list[str]]:
+    """(the first dd/mm/yyyy date of a free text, as yyyyMMdd; its names)."""
     import re
     import unicodedata
 
-    plain = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", text))
-    words = plain.split()
+    words = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", text)).split()
     day = next((dates.from_french(w) for w in words if re.fullmatch(r"\d{2}/\d{2}/\d{4}", w)), None)
-    names = [w for w in words if re.search("[A-Za-z]", w) and w.lower() not in PARTICLES]
+    return day, [w for w in words if re.search("[A-Za-z]", w) and w.lower() not in PARTICLES]
+
+
+def full_text_predicate(people: DataFrame, text: str) -> tuple[Column, Column]:
+    """(predicate, rank) of a free text: one dd/mm/yyyy date, and names; with two names, one is the last name."""
+    day, names = full_text_parts(text)
     born = ((F.col("birth_date") == day) | (F.col("death_date") == day)) if day else None
     if not names:
         return (born, F.lit(1.0)) if day else (F.lit(True), F.lit(1.0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, places, text
 from ..functions.blend import Params
-from ..operators import aggregate, blocking, link, score, search
+from ..operators import aggregate, blocking, link, near, score, search, terms
 from ..operators.requests import parse
 from ..sources import bulk, reference, stage
 from .persons import PERSONS_SQL, nested, persons, requests
@@ -79,6 +79,14 @@ def search_fuzzy_name(spark, sf_dir):
     return _find(spark, sf_dir, firstName="rde", lastName="bollt")
 
 
+@query(_select(f"{_near('last', 'bollt')} AND ({_near('first', 'rde')} OR {_near('second_name', 'rde')}) OR {_near('last', 'rde')} AND ({_near('first', 'bollt')} OR {_near('second_name', 'bollt')})"))
+def search_terms(spark, sf_dir):
+    """The fuzzy search for names over the persisted dictionary of their words."""
+    people, base = persons(spark, sf_dir), stage.workspace(spark)
+    terms.build(people, base)
+    return terms.find(people, base, parse({"firstName": "rde", "lastName": "bollt"})).select(*_SHOWN)
+
+
 @query(_select(f"{_near('last', 'red')} AND ({_near('first', 'bolt')} OR {_near('second_name', 'bolt')}) OR {_near('last', 'bolt')} AND ({_near('first', 'red')} OR {_near('second_name', 'red')})"))
 def search_name_swapped(spark, sf_dir):
     return _find(spark, sf_dir, firstName="bolt", lastName="red")
@@ -119,6 +127,17 @@ def search_geo(spark, sf_dir):
     return rows.select("uid", F.round(places.distance_column(F.lit(42.5), F.lit(-3.5), F.col("lat"), F.col("lon")), 3).alias("km"))
 
 
+_APART_KM = "CASE WHEN q.lat = p.lat AND q.lon = p.lon THEN 0.0 ELSE acos(greatest(-1.0, least(1.0, sin(radians(q.lat)) * sin(radians(p.lat)) + cos(radians(q.lat)) * cos(radians(p.lat)) * cos(radians(q.lon - p.lon))))) * 6370.693486 END"
+
+
+@query(f"SELECT q.uid AS qid, p.uid, round({_APART_KM}, 3) AS km FROM persons q JOIN persons p ON {_APART_KM} <= 1 + q.uid // 50 % 4 * 5 WHERE q.uid % 50 = 0 AND q.lon <> 0")
+def link_distance(spark, sf_dir):
+    """The persons within 1, 6, 11 or 16 km of every fiftieth person's birth place."""
+    people = persons(spark, sf_dir)
+    asked = people.where("uid % 50 = 0").select(F.col("uid").alias("qid"), "lat", "lon", (1 + F.floor(F.col("uid") / 50) % 4 * 5).alias("km"))
+    return near.within_distance(asked, people).select("qid", "uid", F.round("km", 3).alias("km"))
+
+
 _ALL = "(len(list_filter(string_split(lower(first || ' ' || second_name || ' ' || last), ' '), lambda t: {test})) > 0)"
 _FULL = _ALL.format(test=f"{_near('t', 'bolt')} OR {_near('t', 'red')}")
 
@@ -148,14 +167,12 @@ def search_codes(spark, sf_dir):
     return _find(spark, sf_dir, birthLocationCode="05123").union(_find(spark, sf_dir, birthDepartment="05", birthDate="1998")).distinct()
 
 
-@query(_select(f"(CASE WHEN {_near('last', 'bolt')} THEN 1 ELSE 0 END) + (CASE WHEN birth_date LIKE '1996%' THEN 1 ELSE 0 END) >= 1"))
+_BOLT = f"({_near('last', 'bolt')} OR len(list_filter(string_split(lower(first || ' ' || second_name), ' '), lambda t: {_near('t', 'bolt')})) > 0)"
+
+
+@query(_select(f"{_BOLT}::INT + (birth_date LIKE '1996%')::INT >= 1"))
 def search_block(spark, sf_dir):
-    people = persons(spark, sf_dir)
-    r = parse({"lastName": "bolt", "birthDate": "1996", "block": {"scope": ["name", "birthDate"], "minimum_match": 1, "should": True}})
-    first = search.predicates(people, r)["name"][0]
-    straight = search.match(F.col("last"), "bolt", None)
-    turned = people.where(first & ~straight).select(*_SHOWN)  # the last name in a first name's place
-    return search.search(people, r).select(*_SHOWN).exceptAll(turned.where("birth_date not like '1996%'"))
+    return _find(spark, sf_dir, lastName="bolt", birthDate="1996", block={"scope": ["name", "birthDate"], "minimum_match": 1, "should": True})
 
 
 @query(_select(f"({_FULL}) AND (damerau_levenshtein(birth_date, '19970311') <= 1 OR birth_date LIKE '1997%') AND (last = 'bolt' OR birth_date = '19970311')"))
@@ -244,6 +261,24 @@ def agg_cardinality(spark, sf_dir):
     return aggregate.cardinality(persons(spark, sf_dir), ["birth_date", "last"], exact=True)
 
 
+@query("""SELECT "column", n AS exact, true AS close FROM (SELECT count(DISTINCT birth_date) AS birth_date, count(DISTINCT second_name) AS second_name, count(DISTINCT uid) AS uid FROM persons)
+    UNPIVOT (n FOR "column" IN (birth_date, second_name, uid))""")
+def agg_cardinality_merged(spark, sf_dir):
+    """Distinct counts from sketches of each year's persons, merged: within 3 % of the exact ones."""
+    people, columns = persons(spark, sf_dir), ["birth_date", "second_name", "uid"]
+    parts = stage.stored(aggregate.distinct_sketches(people, columns, "source"), stage.workspace(spark))
+    exact = aggregate.cardinality(people, columns, exact=True).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns))).alias("e")).select("e.*")
+    return aggregate.merged_cardinality(parts).join(exact, "column").select("column", "exact", (F.abs(F.col("n") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
+
+
+@query("SELECT birth_country, birth_date, count(*) AS value FROM persons WHERE (birth_country, birth_date) > ('NATION_15', '19960314') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500")
+def agg_composite_page(spark, sf_dir):
+    """A page of groups that were written once, from the files that hold it."""
+    people, base, columns = persons(spark, sf_dir), stage.workspace(spark), ["birth_country", "birth_date"]
+    aggregate.store_groups(people, columns, base)
+    return aggregate.group_page(spark, base, columns, ["NATION_15", "19960314"], 500)
+
+
 @query("SELECT death_age AS key, count(*) AS value FROM persons WHERE sex = 'F' AND birth_date LIKE '1997%' GROUP BY 1 ORDER BY value DESC, key LIMIT 250")
 def agg_filtered(spark, sf_dir):
     return _aggregate(spark, sf_dir, ["deathAge"], sex="F", birthDate="1997")

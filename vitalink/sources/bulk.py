@@ -145,8 +145,9 @@ def json_records(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     import json
 
     head = json.dumps({"header": rows.columns, "mapping": mapping})
-    first = rows.sparkSession.createDataFrame([(0, head)], "k int, record string")
-    return first.union(rows.select(F.lit(1), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))).orderBy("k").select("record")
+    first = rows.sparkSession.createDataFrame([(head,)], "record string").coalesce(1)
+    # the parts of a union are written in their order: no sort, the rows stay where they are
+    return first.union(rows.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("record")))
 
 
 EXPORT_LIMIT = 500_000
