@@ -27,12 +27,16 @@ class HeaderMismatch(ValueError):
     """A row has more or fewer columns than the header."""
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str | None = '"', escape: str = '"', encoding: str = "utf8", skip_lines: int = 0, ignore_empty: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str | None = '"', escape: str = '"', encoding: str = "utf8", skip_lines: int = 0, ignore_empty: bool = True, multi_line: bool | None = None) -> DataFrame:
     """All columns as strings, and ``sourceLineNumber`` from 1.
 
     Lines may end in CR, LF or both.  The first ``skip_lines`` lines go; the next one is the header.  A row that is
     longer than the header raises HeaderMismatch when it is read; a shorter one has nulls.  Lines are numbered in the
     order of the files without sorting: by partition, then within it.
+
+    With ``multi_line`` quoted cells may hold line ends; each file is then one task, and empty lines always go.  By
+    default this is so where some line has an odd number of quotes: one pass more, which ends at the first such line.
+    Skipped lines and the header end at their first line end.
     """
     quote = None if quote == "null" else quote
     raw = spark.read.format("binaryFile").load(path).select(F.decode("content", charset(encoding)).alias("t")) if charset(encoding) != "UTF-8" else None
@@ -50,7 +54,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str | None =
     options = {"sep": sep, "escape": escape, "mode": "PERMISSIVE"} | ({"quote": quote} if quote else {"quote": ""})
     names = _header(head[-1].lstrip("﻿"), sep, quote)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_too_long", T.StringType())])
-    rows = lines.where(F.col("_n") > last).select("_n", "line", F.from_csv("line", _ddl(schema), options).alias("r"))
+    if multi_line is None:
+        multi_line = bool(quote) and not lines.where(F.length(F.regexp_replace("line", f"[^{_in_class(quote)}]", "")) % 2 == 1).isEmpty()
+    if multi_line:
+        records = spark.read.schema(schema).options(**options, multiLine=True, encoding=charset(encoding), enforceSchema=True).csv(path).withColumn("_n", F.monotonically_increasing_id())
+        last = records.orderBy("_n").limit(skip_lines + 1).agg(F.max("_n")).first()[0]
+        whole = F.struct(*(F.col(f"`{f.name}`") for f in schema.fields))
+        rows = records.where(F.col("_n") > last).select("_n", F.concat_ws(sep, *(F.col(f"`{n}`") for n in names)).alias("line"), whole.alias("r"))
+    else:
+        rows = lines.where(F.col("_n") > last).select("_n", "line", F.from_csv("line", _ddl(schema), options).alias("r"))
     wrong = F.raise_error(F.concat(F.lit("column header mismatch: "), F.col("line")))
     rows = rows.withColumn("r", F.when(F.col("r._too_long").isNotNull(), wrong.cast(schema)).otherwise(F.col("r")))
     counts = rows.groupBy(F.shiftright("_n", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
@@ -60,6 +72,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str | None =
     return numbered.select(*(F.col("r").getField(n).alias(n) for n in names), (F.col("before") + F.col("k")).cast("long").alias("sourceLineNumber"))
 
 
+def _in_class(char: str) -> str:
+    return "\\" + char if char in r"\]^-[&" else char
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` string" for f in schema.fields)
 
