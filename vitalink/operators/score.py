@@ -111,14 +111,15 @@ def plain(rows: DataFrame, params: Params = Params()) -> DataFrame:
     """
     rows = rows if "_plain_q" in rows.columns else asked_forms(rows)
     rows = rows if "_plain_p" in rows.columns else known_forms(rows)
-    return rows.withColumn("plain", F.col("_plain_q") & F.col("_plain_p") & F.lit(not (params.date_format_a or params.date_format_b or params.explain)))
+    return rows.withColumn("plain", F.col("_plain_q") & F.col("_plain_p") & F.lit(not (params.date_format_a or params.date_format_b)))
 
 
 def with_plain_scores(rows: DataFrame, params: Params = Params()) -> DataFrame:
     """The SCORES columns, by the names ``_score``, ``_birthDate`` ..., of rows from :func:`plain`, as expressions.
 
     A request without a place leaves the place open, whatever the person's.  Each part is scored only while the blend of
-    those before it is above ``params.prune``.
+    those before it is above ``params.prune``.  With ``params.explain``, ``_explain`` is the JSON that the function
+    gives; ``_in_france`` tells which persons have the country code of France, none if there is no such column.
     """
     c = F.col
     alive = lambda *parts: blended(*(c(p) for p in parts)) > params.prune
@@ -133,6 +134,13 @@ def with_plain_scores(rows: DataFrame, params: Params = Params()) -> DataFrame:
     rows = rows.withColumn("_birthLocation", F.when(c("_go"), F.lit(BLIND_PLACE)))
     parts = ("_birthDate", "_name", "_sex", "_birthLocation")
     rows = rows.withColumn("_score", blended(*(c(p) for p in parts)))
+    if params.explain:
+        name = F.when(c("_name").isNotNull(), F.struct(c("_name_first").alias("first"), c("_name_last").alias("last"), c("_name").alias("score")))
+        # of a place that was not asked for, the country is left open where it is recorded abroad
+        country = F.when(~c("_in_france"), c("_birthLocation")) if "_in_france" in rows.columns else c("_birthLocation")
+        place = F.when(c("_birthLocation").isNotNull(), F.struct(country.alias("country"), c("_birthLocation").alias("score")))
+        each = [c("_birthDate").alias("birthDate"), name.alias("name"), c("_sex").alias("sex"), place.alias("birthLocation")]
+        rows = rows.withColumn("_explain", F.to_json(F.struct(*each, c("_score").alias("score"), F.struct(*each).alias("explain"))))
     return rows.withColumn("_n_parts", sum((c(p).isNotNull().cast("int") for p in parts), F.lit(0)))
 
 

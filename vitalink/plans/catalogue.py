@@ -16,6 +16,7 @@ from ..functions.blend import Params
 from ..operators import aggregate, blocking, link, near, score, search, terms
 from ..operators.requests import parse
 from ..sources import bulk, reference, stage
+from ..streaming import jobs
 from .persons import PERSONS_SQL, nested, persons, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,11 +562,15 @@ def link_ranked(spark, sf_dir):
     return link.ranked(asked, known)
 
 
-def _linked_sql(asked: str, more: str, place: str, weight: int) -> str:
+def _best_sql(asked: str, more: str, place: str, weight: int) -> str:
     """The best two of the 20 ranked candidates of each request; ``place`` is the score of the birth place."""
     return f"""{_ranked_sql(asked)}, pairs AS (SELECT r.*, p.uid, p.first, p.last, p.second_name, p.sex, p.birth_date, {more} t.rank FROM top t JOIN {asked} r USING (qid) JOIN persons p USING (uid)),
   {_likeness_sql()}, {_named_sql('pairs')}, {_scored_sql('named', 'CASE WHEN sex_q = sex THEN 1.0::DOUBLE ELSE 0.5 END', place=place, weight=weight)}, {_penalties_sql('blind', 2, 'rank')},
-  best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rank DESC, uid) AS place FROM finals WHERE final >= 0.3)
+  best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rank DESC, uid) AS place FROM finals WHERE final >= 0.3)"""
+
+
+def _linked_sql(asked: str, *how) -> str:
+    return f"""{_best_sql(asked, *how)}
   SELECT r.*, uid, score, "birthDate", s AS sex, round(name, 6) AS name, CASE WHEN name IS NOT NULL THEN sf END AS name_first, CASE WHEN name IS NOT NULL THEN sl END AS name_last, "birthLocation", n_parts, final, place
   FROM {asked} r LEFT JOIN (SELECT * FROM best WHERE place <= 2) b ON b.qid = r.qid"""
 
@@ -577,6 +582,29 @@ def bulk_linkage(spark, sf_dir):
     return rows.withColumn("name", F.round("name", 6)).drop("deathDate", "deathLocation", "explain")
 
 
+@query(f""", {_best_sql("requests", "", "0.75::DOUBLE", 2)}
+  SELECT qid, uid, "birthDate", round(name, 6) AS name, CASE WHEN name IS NOT NULL THEN sf END AS name_first, CASE WHEN name IS NOT NULL THEN sl END AS name_last, s AS sex, "birthLocation" FROM best WHERE place <= 2""")
+def link_explained(spark, sf_dir):
+    """The part scores as the explanation of each match has them."""
+    people = persons(spark, sf_dir)
+    rows = link.link(requests(people), people, nested(), Params(candidates=2, explain=True)).where("uid is not null")
+    part = F.from_json("explain", "birthDate double, name struct<first: double, last: double, score: double>, sex double, birthLocation struct<score: double>")
+    name = F.round("e.name.score", 6).alias("name")
+    rows = rows.select("qid", "uid", part.alias("e"))
+    return rows.select("qid", "uid", "e.birthDate", name, F.col("e.name.first").alias("name_first"), F.col("e.name.last").alias("name_last"), "e.sex", F.col("e.birthLocation.score").alias("birthLocation"))
+
+
+@query(f"SELECT r.qid, p.uid FROM requests r JOIN persons p ON {_ADMITTED}")
+def link_job(spark, sf_dir):
+    """The candidates as a run in the background, its result read once it is whole."""
+
+    def make() -> DataFrame:
+        people = persons(spark, sf_dir)
+        return link.candidates(requests(people), people).select("qid", "uid")
+
+    return jobs.Job(spark, make, f"{stage.workspace(spark)}/pairs").start().result()
+
+
 # A request's place: the city without its last letter for some, the code of another commune of the department for others.
 _PLACED = """located AS (SELECT r.*, CASE WHEN qid // 50 % 3 = 0 THEN left(birth_city, length(birth_city)::BIGINT - 1) ELSE birth_city END AS city_q,
     CASE WHEN qid // 50 % 5 = 0 THEN left(birth_code, 2) || '999' ELSE birth_code END AS code_q FROM requests r JOIN persons p ON p.uid = r.qid)"""
