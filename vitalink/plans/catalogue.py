@@ -15,7 +15,7 @@ from ..functions import dates, names, places, text
 from ..functions.blend import Params
 from ..operators import aggregate, blocking, link, near, score, search, terms
 from ..operators.requests import parse
-from ..sources import bulk, reference, stage
+from ..sources import bulk, reference, sealed, stage
 from ..streaming import jobs
 from .persons import PERSONS_SQL, nested, persons, requests
 
@@ -605,6 +605,16 @@ def link_job(spark, sf_dir):
     return jobs.Job(spark, make, f"{stage.workspace(spark)}/pairs").start().result()
 
 
+@query("SELECT uid, first, second_name, last, sex, birth_date, lat, lon FROM persons")
+def sealed_persons(spark, sf_dir):
+    """Persons written as sealed rows under a new key, and read back."""
+    rows = persons(spark, sf_dir).select("uid", "first", "second_name", "last", "sex", "birth_date", "lat", "lon")
+    base = stage.workspace(spark)
+    sealed.new_key(spark, f"{base}/key")
+    sealed.write_sealed(rows, f"{base}/cells", f"{base}/key")
+    return sealed.read_sealed(spark, f"{base}/cells", f"{base}/key", rows.schema)
+
+
 # A request's place: the city without its last letter for some, the code of another commune of the department for others.
 _PLACED = """located AS (SELECT r.*, CASE WHEN qid // 50 % 3 = 0 THEN left(birth_city, length(birth_city)::BIGINT - 1) ELSE birth_city END AS city_q,
     CASE WHEN qid // 50 % 5 = 0 THEN left(birth_code, 2) || '999' ELSE birth_code END AS code_q FROM requests r JOIN persons p ON p.uid = r.qid)"""
