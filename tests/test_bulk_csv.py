@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalink.sources import bulk
 
@@ -35,3 +36,10 @@ def test_json_records_start_with_the_header_and_keep_their_partitions(spark, tmp
     parts = sorted((tmp_path / "out").glob("part-*"))
     lines = [json.loads(x) for p in parts for x in p.read_text().splitlines()]
     assert lines[0] == {"header": ["id"], "mapping": {"id": "uid"}} and [x["id"] for x in lines[1:]] == list(range(100))
+
+
+def test_export_of_more_rows_than_the_reference_pages(spark):
+    """Without a limit of the caller's a table of 500,000 rows and more is exported whole."""
+    rows = spark.range(500_001).select(F.col("id").alias("uid"), F.lit("bolt").alias("last"), F.lit("19691101").alias("birth_date"))
+    out = bulk.export(rows)
+    assert out.count() == 500_001 and out.first()["birth date"] == "01/11/1969"

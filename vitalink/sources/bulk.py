@@ -166,7 +166,6 @@ def json_records(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return first.union(rows.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("record")))
 
 
-EXPORT_LIMIT = 500_000
 HEADERS = {
     "en": {"uid": "id", "last": "last name", "first": "first name", "sex": "sex", "birth_date": "birth date", "birth_city": "birth city", "birth_country": "birth country", "death_date": "death date", "death_age": "death age", "source": "source"},
     "fr": {"uid": "identifiant", "last": "nom", "first": "prénom", "sex": "sexe", "birth_date": "date de naissance", "birth_city": "commune de naissance", "birth_country": "pays de naissance", "death_date": "date de décès", "death_age": "âge de décès", "source": "source"},
@@ -177,11 +176,11 @@ class TooManyRows(ValueError):
     """An export above its limit."""
 
 
-def export(rows: DataFrame, language: str = "en", limit: int = EXPORT_LIMIT) -> DataFrame:
-    """A search result for CSV: dates as dd/MM/yyyy, a header in English or French; refused from ``limit`` rows on."""
+def export(rows: DataFrame, language: str = "en", limit: int | None = None) -> DataFrame:
+    """A search result for CSV: dates as dd/MM/yyyy, a header in English or French; all rows, or refused from ``limit`` rows on."""
     from ..functions.dates import to_french
 
-    if rows.limit(limit).count() >= limit:
+    if limit is not None and rows.limit(limit).count() >= limit:
         raise TooManyRows(f"{limit} rows or more")
     names = HEADERS[language]
     return rows.select(*((to_french(F.col(c)) if c.endswith("_date") else F.col(c)).alias(n) for c, n in names.items() if c in rows.columns and c != "uid"))
