@@ -120,3 +120,12 @@ def test_merged_distinct_counts(spark, people):
     exact = aggregate.cardinality(rows, ["uid", "last"], exact=True).first().asDict() | {"words": rows.select(F.explode("words").alias("w")).distinct().count()}
     assert set(got) == set(exact) and all(abs(got[c] - n) <= 0.03 * n for c, n in exact.items())
     assert aggregate.merged_cardinality(aggregate.distinct_sketches(rows.limit(0), ["uid"], "part")).count() == 0
+
+
+def test_distances_are_taken_once_for_equal_points(spark):
+    """A hundred requests and 300 persons of one point: no shuffle has their 30,000 pairs, and each pair comes once."""
+    left = spark.range(100).select(F.col("id").alias("qid"), F.lit(48.85).alias("lat"), F.lit(2.35).alias("lon"), F.lit(5.0).alias("km"))
+    right = spark.range(300).select(F.col("id").alias("uid"), F.lit(48.86).alias("lat"), F.lit(2.36).alias("lon"))
+    got = near.within_distance(left, right)
+    assert got.count() == got.select("qid", "uid").distinct().count() == 30_000 and got.select("km").distinct().count() == 1
+    assert "_members" in got._jdf.queryExecution().optimizedPlan().toString()  # the rows of a class are listed, then made
