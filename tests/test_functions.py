@@ -1,5 +1,8 @@
 """Text, date, name and place functions: goldens, laws, and expressions against plain functions."""
 
+import math
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +53,35 @@ def test_damerau_of_dates_as_expression(spark):
     assert all(r.d == text.damerau(r.a, r.b) for r in rows)
 
 
+def test_rounding_expression_next_to_halves(spark):
+    near = [v for k in range(1, 101) for v in ((2 * k - 1) / 200, math.nextafter((2 * k - 1) / 200, 0), math.nextafter((2 * k - 1) / 200, 2), k / 100)]
+    rows = spark.createDataFrame([(v,) for v in [0.0, -0.125, -0.25, -1.004, 1234.567, *near]], "v double").select("v", text.round2(F.col("v")).alias("r")).collect()
+    assert [r.r for r in rows[5:]] == [text.to_fixed(r.v) for r in rows[5:]] and [r.r for r in rows[:5]] == [0.0, -0.12, -0.25, -1.0, 1234.57]
+
+
+def test_two_swaps_equal_the_least_of_all_copies(spark):
+    def copies(s, n):
+        swaps = [(k,) for k in range(n - 1)] + [(k, j) for k in range(n - 1) for j in range(k + 2, n - 1)]
+        for at in [(), *swaps]:
+            c = list(s)
+            for k in at:
+                c[k : k + 2] = c[k : k + 2][::-1]
+            yield len(at), "".join(c)
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("0123"[: draw.randint(2, 4)], k=draw.choice([0, 3, 4, 7, 8, 8, 8, 8])))
+    pairs = [(word(), word()) for _ in range(1500)]
+    pairs += [(a, "".join(draw.sample(a, len(a)))) for a, _ in pairs[:500]]
+    rows = spark.createDataFrame([*pairs, (None, "1"), ("1", None)], "a string, b string").select("a", "b", text.damerau_short(F.col("a"), F.col("b")).alias("d"), dates._ratio8(F.col("a"), F.col("b"), 5, 4).alias("r")).collect()
+    assert [r.d for r in rows] == [min(n + text.levenshtein(c, b) for n, c in copies(a, 8)) for a, b in pairs] + [None, None]
+    tails = [(a[4:8], b[4:8]) for a, b in pairs]
+    assert [r.r for r in rows[: len(pairs)]] == [1.0 if a == b else text.to_fixed(1 - min(n + text.levenshtein(c, b) for n, c in copies(a, 4)) / max(len(a), len(b))) for a, b in tails]
+
+
+def test_distances_of_dates_cut_each_copy_once():
+    assert str(text.damerau_short(F.col("a"), F.col("b"))).count("substring") < 400  # over 1000 before
+
+
 def test_soundex(spark):
     assert text.soundex_fr("pompidou") == text.soundex_fr("pompidous") and text.soundex_fr("martin") != text.soundex_fr("dupond") and text.soundex_fr("") == ""
     rows = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", text.soundex_fr_column(F.col("w")).alias("s")).collect()

@@ -146,9 +146,14 @@ def score(a: str | None, b: str | None, format_a: str | None = None, format_b: s
     return 0.01 * int(_raw(a, b, foreign) ** POWER * 100 + 0.5)
 
 
+#: Ratios of strings of up to eight characters, to two decimals, by the longer length and the distance.
+_RATIOS = [to_fixed(1 - d / max(n, 1)) for n in range(9) for d in range(9)]
+
+
 def _ratio8(a: Column, b: Column, start: int, size: int) -> Column:
     x, y = F.substring(a, start, size), F.substring(b, start, size)
-    return F.when(x == y, 1.0).otherwise(round2(1 - damerau_short(x, y, size) / F.greatest(F.length(x), F.length(y), F.lit(1))))
+    at = F.greatest(F.length(x), F.length(y)) * 9 + damerau_short(a, b, size, start)
+    return F.when(x == y, 1.0).otherwise(F.get(F.array(*map(F.lit, _RATIOS)), at))
 
 
 def _days(text: Column) -> Column:
@@ -164,7 +169,7 @@ def score_column(a: Column, b: Column, foreign: Column | None = None) -> Column:
     uncertain = F.when(foreign & (F.substring(b, 1, 4) < "1990"), F.lit(UNCERTAIN)).otherwise(F.lit(UNCERTAIN**2))
     same_month = F.when(F.substring(a, 1, 6) == F.substring(b, 1, 6), F.lit(to_fixed(UNCERTAIN**2))).otherwise(0.0)
     apart = (_days(a) - _days(b)) * F.lit(86_400_000.0) / F.lit(float(YEAR_MS))
-    near = F.coalesce(round2(1 - F.pow(F.pow(apart, 2), 0.2)), F.lit(0.0))
+    near = round2(F.greatest(1 - F.pow(F.pow(apart, 2), 0.2), F.lit(0.0)))
     blank = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0) | (b == "00000000")
     raw = (
         F.when(a == b, 1.0)
