@@ -78,7 +78,7 @@ def test_two_swaps_equal_the_least_of_all_copies(spark):
     assert [r.r for r in rows[: len(pairs)]] == [1.0 if a == b else text.to_fixed(1 - min(n + text.levenshtein(c, b) for n, c in copies(a, 4)) / max(len(a), len(b))) for a, b in tails]
 
 
-def test_distances_of_dates_cut_each_copy_once():
+def test_distances_of_dates_cut_each_copy_once(spark):
     assert str(text.damerau_short(F.col("a"), F.col("b"))).count("substring") < 200  # 328 before
 
 
