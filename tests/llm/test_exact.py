@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -123,6 +125,25 @@ def test_words_are_encoded_once_whatever_follows_them():
     assert len(encoder.words) <= len(stems) + 20  # 399 before
 
 
+def test_kept_pieces_take_little_memory():
+    encoder, rng = tokens.PieceEncoder(PATH), random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(10_000)) for _ in range(8)]
+    tracemalloc.start()
+    got = [encoder.encode([x])[0] for x in texts]
+    python = tracemalloc.get_traced_memory()[0] - sum(map(len, got))
+    tracemalloc.stop()
+    assert len(encoder.words) > 79_000
+    assert python + pa.total_allocated_bytes() < 6_000_000
+
+
+def test_pieces_used_last_are_kept():
+    encoder = tokens.PieceEncoder(PATH, most=20)
+    for k in range(9):
+        text = " ".join(["stay", *(f"{chr(97 + k)}{chr(97 + x)}" for x in range(12))])
+        assert encoder.encode([text]) == encoder._whole([text])
+        assert len(encoder.words) <= 20 + 13 and b" stay" not in encoder.words.to_pylist() and b"stay" in encoder.words.to_pylist()
+
+
 # ------------------------------------------------------------------ archives
 
 

@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,9 +97,10 @@ class PieceEncoder:
     """Encodes whole texts with a tokenizer file, remembering the ids of their pieces.
 
     A byte-level BPE splits texts before merging, and :func:`piece_starts` finds places where it is sure to.  Pieces are
-    therefore encoded once and joined; texts with the text of a special token go through the tokenizer whole.  Two
-    generations of ``most`` pieces each are kept, and the pieces of one batch more: a piece that is used again comes back
-    from the older one.  Pieces of over ``longest`` bytes are not kept.
+    therefore encoded once and joined; texts with the text of a special token go through the tokenizer whole.  Up to
+    ``most`` pieces are kept, and those of one batch more, as two Arrow columns, which take some 30 bytes a piece where
+    Python objects take 200; beyond that, the half stays that was used last.  Pieces of over ``longest`` bytes are not
+    kept.
     """
 
     def __init__(self, path: str, width: int = 0, most: int = 400_000, longest: int = 100):
@@ -111,8 +113,10 @@ class PieceEncoder:
         self.width = width or (2 if size <= 1 << 16 else 4)
         self.kind = np.dtype(f"<u{self.width}")
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.words = pa.array([], pa.binary())
+        self.coded = pa.array([], pa.large_binary())  # the ids of each piece
+        self.used = np.zeros(0, np.int64)  # the last batch that had it
+        self.batch = 0
         self.most, self.longest = most, longest
         split = repr(self.tokenizer.pre_tokenizer)  # the tokenizer's whole JSON would take far more memory
         self.by_word = split.startswith("ByteLevel(") and "add_prefix_space=False" in split and "use_regex=True" in split and self.tokenizer.normalizer is None
@@ -122,36 +126,47 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[bytes]) -> list[bytes]:
         """The ids of new pieces.  Runs of letters are encoded together, a line end between two."""
         out = {}
         fit = [x for x in new if _LETTERS.fullmatch(x)]
-        for at in range(0, len(fit), 20_000):
-            part = fit[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+        if fit:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(fit).decode()], add_special_tokens=False)[0].ids, self.kind)
             line = np.flatnonzero(ids == self.line)
-            if len(line) != len(part) - 1:
-                continue
-            data, cuts = ids.tobytes(), (np.concatenate([[-1], line, [len(ids)]]) * self.width).tolist()
-            out.update(zip(part, [data[i + self.width : j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+            if len(line) == len(fit) - 1:
+                data, cuts = ids.tobytes(), (np.concatenate([[-1], line, [len(ids)]]) * self.width).tolist()
+                out.update(zip(fit, [data[i + self.width : j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
         other = [x for x in new if x not in out]
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
             out.update(zip(part, self._whole([x.decode() for x in part]), strict=True))
-        return out
+        return [out[x] for x in new]
 
-    def _found(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of different pieces."""
+    def _forget(self) -> None:
+        """Keep the half of ``most`` that was used last."""
+        kept = np.sort(np.argsort(self.used, kind="stable")[len(self.used) - self.most // 2 :])
+        self.words, self.coded, self.used = self.words.take(pa.array(kept)), self.coded.take(pa.array(kept)), self.used[kept]
+
+    def _found(self, pieces: pa.BinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """(ids, where among them those of each piece are) of different pieces."""
         if len(self.words) > self.most:
-            self.words, self.older = {}, self.words
-        found = list(map(self.words.get, pieces))
-        lost = [k for k, x in enumerate(found) if x is None]
-        back = {pieces[k]: x for k in lost if (x := self.older.get(pieces[k])) is not None}
-        back |= self._learn([pieces[k] for k in lost if pieces[k] not in back])
-        for k in lost:
-            found[k] = back[pieces[k]]
-        self.words.update((x, ids) for x, ids in back.items() if len(x) <= self.longest)
-        return found
+            self._forget()
+        self.batch += 1
+        at = pc.index_in(pieces, value_set=self.words)
+        lost = pieces.filter(at.is_null())
+        where = at.fill_null(-1).to_numpy()
+        self.used[where[where >= 0]] = self.batch
+        if not len(lost):
+            return self.coded, where
+        learnt = [pa.array(self._learn(lost[k : k + 10_000].to_pylist()), pa.large_binary()) for k in range(0, len(lost), 10_000)]
+        coded = pa.concat_arrays([self.coded, *learnt])
+        where = np.where(where < 0, len(self.words) - 1 + np.cumsum(where < 0), where)
+        if pc.max(pc.binary_length(lost)).as_py() > self.longest:
+            short = pc.less_equal(pc.binary_length(lost), self.longest)
+            lost, learnt = lost.filter(short), [pa.concat_arrays(learnt).filter(short)]
+        self.words, self.coded = pa.concat_arrays([self.words, lost]), pa.concat_arrays([self.coded, *learnt])
+        self.used = np.concatenate([self.used, np.full(len(lost), self.batch)])
+        return coded, where
 
     def encode_flat(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin, and the end) of UTF-8 texts, as :func:`utf8` gives them."""
@@ -166,15 +181,11 @@ class PieceEncoder:
             starts = starts[plain[text] | (starts == offsets[text])]
         edges = pa.py_buffer(starts.astype(np.int32))
         pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, edges, pa.py_buffer(data)]).dictionary_encode()
-        index = pieces.indices.to_numpy()
-        found = self._found(pieces.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(found), self.kind)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((np.cumsum(size) - size)[index] - ends[:-1], n)
-        at += np.arange(len(at))
-        return flat[at], ends[np.searchsorted(starts, offsets)]
+        coded, where = self._found(pieces.dictionary)
+        joined = coded.take(pa.array(where[pieces.indices.to_numpy()]))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(starts)]
+        ids = np.frombuffer(joined.buffers()[2] or b"", self.kind, int(ends[-1]) // self.width)
+        return ids, ends[np.searchsorted(starts, offsets)] // self.width
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -214,7 +225,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_
         store = path = sink = None
         sizes, n_docs, n_tokens = [8], 0, 0
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in sliced(batches, 1, 4 << 20):
+        for batch in sliced(batches, 1):
             keys = batch.column(0).to_pylist()
             if sink is None:
                 store, base = _open(out)
@@ -229,6 +240,8 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_
             n_tokens += len(ids) + len(keys)
             n_docs += len(keys)
             sink.write(b"".join(framed))
+            del ids, framed, data
+            pa.default_memory_pool().release_unused()  # else Arrow keeps some 100 MB for later
         if sink is not None:
             sink.close()
             with store.open_output_stream(path + ".idx") as index:
