@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vitalink.functions import blend
 from vitalink.operators import link, score
+from vitalink.plans import catalogue
 from vitalink.plans.persons import nested
 from vitalink.streaming import bulk, jobs
 
@@ -125,3 +126,32 @@ def test_explanations_of_plain_pairs_equal_the_function(pairs, country):  # noqa
     assert len(got) == len(want) > 200
     for r in want:
         assert got[r.qid, r.uid] == json.loads(r.s.explain), (got[r.qid, r.uid], r.s.explain)
+
+
+def test_a_run_of_several_tables(spark, tmp_path):
+    made = {"a": spark.range(5), "b": spark.range(7).withColumnRenamed("id", "x")}
+    found = jobs.Job(spark, lambda: made, f"{tmp_path}/out").start().result()
+    assert {k: (v.columns, v.count()) for k, v in found.items()} == {"a": (["id"], 5), "b": (["x"], 7)}
+    assert os.listdir(tmp_path) == ["out"] and sorted(os.listdir(f"{tmp_path}/out")) == ["a", "b"]
+
+
+def test_the_run_of_a_linkage_writes_no_pairs_of_rows(spark, tmp_path, monkeypatch):
+    """Tables of 30 copies of each row, keys shifted: 900 times the pairs, none of which is written."""
+    one = "/root/testdata/sf0.001"
+    size = {"orders": 150_000, "customer": 15_000}
+    (tmp_path / "many").mkdir()
+    for name in ("orders", "customer", "part", "nation"):
+        rows = spark.read.parquet(f"{one}/{name}.parquet")
+        if name in size:
+            rows = rows.crossJoin(spark.range(30).withColumnRenamed("id", "_k"))
+            rows = rows.withColumns({c: F.col(c) + F.col("_k") * size["orders" if c == "o_orderkey" else "customer"] for c in rows.columns if c.endswith(("orderkey", "custkey"))})
+        rows.drop("_k").write.parquet(f"{tmp_path}/many/{name}.parquet")
+    few = {(r.qid, r.uid) for r in catalogue.link_job(spark, one).collect()}
+    base = f"{tmp_path}/work"
+    monkeypatch.setattr(catalogue.stage, "workspace", lambda _: base)
+    got = catalogue.link_job(spark, f"{tmp_path}/many")
+    alike = got.groupBy((F.col("qid") % size["orders"]).alias("q"), (F.col("uid") % size["orders"]).alias("u")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("qid", "uid").alias("d")).collect()
+    assert {(r.q, r.u) for r in alike} == few and {(r.n, r.d) for r in alike} == {(900, 900)}
+    persons = spark.read.parquet(f"{tmp_path}/many/orders.parquet").count()
+    written = [rows for d, _, files in os.walk(base) if any(f.endswith(".parquet") for f in files) for rows in [spark.read.parquet(d).count()]]
+    assert written and max(written) <= persons < 900 * len(few)

@@ -48,19 +48,20 @@ def beside(path: str) -> str:
 class Job:
     """A table that is computed and written in a thread of its own, all its Spark jobs under one tag.
 
-    ``make`` builds the table, and may run jobs to do so.  The result is written next to ``out`` and renamed at the end,
-    so a run that is cancelled or fails leaves ``out`` as it was.  A run ends once: what comes first counts.
+    ``make`` builds the table, and may run jobs to do so; of several tables by name each is a folder of the result.  It
+    is written next to ``out`` and renamed at the end, so a run that is cancelled or fails leaves ``out`` as it was.  A run
+    ends once: what comes first counts.
     """
 
     spark: SparkSession
-    make: Callable[[], DataFrame]
+    make: Callable[[], DataFrame | dict[str, DataFrame]]
     out: str
     tag: str = field(default_factory=lambda: f"run-{uuid.uuid4().hex}")
     state: str = WAITING
     error: BaseException | None = None
 
     def __post_init__(self) -> None:
-        self._lock, self._thread = Lock(), None
+        self._lock, self._thread, self._names = Lock(), None, None
 
     def start(self) -> Job:
         with self._lock:
@@ -75,9 +76,12 @@ class Job:
         context, part = self.spark.sparkContext, beside(self.out)
         context.addJobTag(self.tag)
         try:
-            rows = self.make()
-            if self.state == RUNNING:
-                rows.write.parquet(part)
+            made = self.make()
+            if isinstance(made, dict):
+                self._names = list(made)
+            for path, rows in ([(part, made)] if self._names is None else [(f"{part}/{name}", rows) for name, rows in made.items()]):
+                if self.state == RUNNING:
+                    rows.write.parquet(path)
             with self._lock:
                 if self.state == RUNNING:
                     renamed(self.spark, part, self.out)
@@ -108,11 +112,12 @@ class Job:
             self._thread.join(seconds)
         return self.state
 
-    def result(self) -> DataFrame:
-        """The table once it is written; raises what the run failed with."""
+    def result(self) -> DataFrame | dict[str, DataFrame]:
+        """The table (or tables by name) once it is written; raises what the run failed with."""
         if self.wait() != DONE:
             raise self.error or RuntimeError(f"the run is {self.state}")
-        return self.spark.read.parquet(self.out)
+        read = self.spark.read.parquet
+        return read(self.out) if self._names is None else {name: read(f"{self.out}/{name}") for name in self._names}
 
     def progress(self) -> Progress:
         tracker = self.spark.sparkContext._jsc.sc().statusTracker()
