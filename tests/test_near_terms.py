@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vitalink.operators import aggregate, near, search, terms
+from vitalink.operators import aggregate, blocking, near, search, terms
 from vitalink.operators.requests import parse
+from vitalink.plans import catalogue
 
 
 def _km(a, b):
@@ -129,3 +130,19 @@ def test_distances_are_taken_once_for_equal_points(spark):
     got = near.within_distance(left, right)
     assert got.count() == got.select("qid", "uid").distinct().count() == 30_000 and got.select("km").distinct().count() == 1
     assert "_members" in got._jdf.queryExecution().optimizedPlan().toString()  # the rows of a class are listed, then made
+
+
+def test_a_distance_join_computes_the_persons_once(spark):
+    """What gives the pairs of rows reads stored points; the joins that make the persons are not in its plan."""
+    rows = catalogue.link_distance(spark, "/root/testdata/sf0.001")
+    assert "o_custkey" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_the_right_are_few(spark):
+    """A class of 3,750 persons (one in 2,400 at 60 times sf0.1) stays one list: a list of requests is sent to it once."""
+    _, cut = blocking._lists(spark.range(3750).select("id", F.lit(1).alias("k")), "id", ["k"], 10_000, 8000)
+    assert cut.count() == 0
+    pairs, left = spark.range(1).select(F.lit(1).alias("a"), F.lit(1).alias("k")), spark.range(19).select(F.col("id").alias("qid"), F.lit(1).alias("a"))
+    got = blocking.members_of(pairs, left, spark.range(3750).select(F.col("id").alias("uid"), F.lit(1).alias("k")), ["a"], ["k"])
+    assert got.distinct().count() == got.count() == 19 * 3750
+    assert got.select(F.spark_partition_id()).distinct().count() == 1
